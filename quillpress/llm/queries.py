@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .license_scan import scan_licenses
+from .packing import pack
 from .shared import table
 from .simhash import near_duplicate_components
 from .topk import exact_top_k
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), toxicity.fold(F.col("id")) == 1
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = toxicity.score(docs, scorer)
+    held_out = toxicity.fold(F.col("__id")) == 1
+    return found.select(F.col("__id").alias("doc_id"), held_out.alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return found.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicate_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -36,6 +51,8 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_packing": op2_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_license_scan": op4_license_scan,
     "op9_exact_top_k": op9_exact_top_k,
