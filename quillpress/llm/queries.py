@@ -10,6 +10,7 @@ from .license_scan import scan_licenses
 from .packing import pack
 from .shared import table
 from .simhash import near_duplicate_components
+from .suffix_dedup import remove_earlier_copies
 from .topk import exact_top_k
 
 
@@ -50,12 +51,17 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_earlier_copies(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_license_scan": op4_license_scan,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 OP9_SQL = """
