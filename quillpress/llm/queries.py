@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import mixing, quality_rules, toxicity
 from .license_scan import scan_licenses
 from .packing import pack
 from .shared import table
@@ -47,6 +47,17 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    rounded = lambda c: F.round(F.col(f"__{c}"), 6).alias(c)
+    return found.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), rounded("weight"), rounded("probability"), F.col("__sampled").alias("sampled"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
@@ -60,6 +71,8 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_license_scan": op4_license_scan,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_mixing": op8_mixing,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
@@ -78,4 +91,4 @@ WITH usable AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLE_SQL = {"op9_exact_top_k": OP9_SQL}
+ORACLE_SQL = {"op8_mixing": mixing.ORACLE, "op9_exact_top_k": OP9_SQL}
