@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, secret_scan, toxicity
+from . import mixing, quality_rules, secret_scan, toxicity, url_filter
 from .license_scan import scan_licenses
 from .packing import pack
 from .shared import table
@@ -58,6 +58,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     rounded = lambda c: F.round(F.col(f"__{c}"), 6).alias(c)
@@ -79,6 +84,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_suffix_dedup": op10_suffix_dedup,
