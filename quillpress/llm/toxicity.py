@@ -260,9 +260,10 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(*model.value).start()
         for batch in batches:
-            found = np.array([own.score(x or b"") for x in binary_column(batch, "__text")], np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found)], names=[*batch.schema.names[1:], "__score"])
+            found = np.array([own.score(x or b"") for x in binary_column(batch, name)], np.float64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[own_text:], pa.array(found)], names=[*batch.schema.names[own_text:], "__score"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("__id"), *carry)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    name, own_text = (text_col, 0) if text_col in carry else ("__text", 1)
+    rows = docs.select(*([F.col(text_col).cast("string").alias(name)] if own_text else []), F.col(id_col).cast("long").alias("__id"), *carry)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[own_text:])
     return rows.mapInArrow(run, f"{schema}, __score double").withColumn("__predicted", (F.col("__score") >= scorer.s.threshold).cast("int"))
