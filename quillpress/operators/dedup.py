@@ -7,12 +7,13 @@ that a group has looked at is not looked at again, whether or not it was replace
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from itertools import accumulate
 
-from .textlines import ALNUM, size, split_lines
-
 import regex
 
+from .textlines import ALNUM, size, split_lines
+
 _TITLE = regex.compile(rf"[{ALNUM}\-_ ]+")
 MIN_LINES, MAX_LINES, MAX_SIMILAR, MIN_BLOCK, MIN_LINE, KEY = 3, 15, 10, 30, 20, 20
 
@@ -52,7 +53,7 @@ def deduplicate(text: str) -> str:
         last = next(i for i in range(e - 1, s - 1, -1) if i in following)
         return lines[first].strip().startswith("```") and lines[last].strip().endswith("```")
 
-    def claim(spans: list[tuple[int, int]]) -> None:
+    def claim(spans: Iterable[tuple[int, int]]) -> None:
         """Of the spans that are still free the first stays and the others become references."""
         free = []
         for s, e in spans:
@@ -80,16 +81,26 @@ def deduplicate(text: str) -> str:
         if len(spans) > 1:
             claim(spans)
 
-    similar: dict[str, list[tuple[int, int]]] = {}
+    # Blocks that start alike: of the spans from one start the longest that is free is taken.
+    free_to, end = [0] * n, n
+    for s in range(n - 1, -1, -1):
+        end = s if used[s] else end
+        free_to[s] = end
+    similar: dict[str, list[tuple[int, int, int]]] = {}
     for s in range(n):
-        for e in range(min(s + MAX_SIMILAR, n), s + MIN_LINES - 1, -1):
-            if not any(used[s:e]) and weighty(s, e):
-                key = _head(lines, s, e)
-                if size(key) >= 15:
-                    similar.setdefault(key, []).append((s, e))
+        top, low = min(s + MAX_SIMILAR, free_to[s]), s + MIN_LINES
+        while low <= top and not weighty(s, low):
+            low += 1
+        if low > top:
+            continue
+        key = _head(lines, s, low)
+        spans = [(key, low, top)] if len(key) == KEY else [(_head(lines, s, e), e, e) for e in range(top, low - 1, -1)]
+        for key, low, top in spans:
+            if size(key) >= 15:
+                similar.setdefault(key, []).append((s, low, top))
     for spans in similar.values():
-        if len(spans) > 1:
-            claim(spans)
+        if sum(top - low + 1 for _, low, top in spans) > 1:
+            claim((s, e) for s, low, top in spans if (e := _free(used, s, top)) >= low)
 
     if not cuts:
         return text
@@ -100,6 +111,12 @@ def deduplicate(text: str) -> str:
     return "".join(out)
 
 
+def _free(used: bytearray, s: int, top: int) -> int:
+    """The end of the free lines from s on, top at most."""
+    at = used.find(1, s, top)
+    return top if at < 0 else at
+
+
 def _head(lines: list[str], s: int, e: int) -> str:
     """The first 20 characters of lines s to e joined."""
     head = lines[s]

@@ -1,24 +1,244 @@
-"""The registered queries: one for each operator, over the driver's tables."""
+"""The registered queries: one for each operator, over the driver's tables and documents made from them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Config, GrammarLevel, Level
+from ..functions import extract as E
+from ..functions import lexicon
+from ..functions import text as T
 from ..functions.tokens import estimate_tokens, savings_pct
+from ..operators import code, dedup, dictionary, grammar, lines, lists, restructure, scan
+from ..operators.minify import minify, minify_output, text_udf
+from ..operators.recall import evaluate, summary
+from . import suites
+from .views import md_conversations, md_events, md_geo, md_orders, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+
 
+def per_text(view: Query, function: Callable[[Column], Column], name: str = "output") -> Query:
+    """doc_id and a function of each text."""
+    return lambda spark, sf_dir: view(spark, sf_dir).select("doc_id", function(F.col("text")).alias(name))
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def per_line(view: Query, function: Callable[[DataFrame], DataFrame]) -> Query:
+    """A function of the relation of lines."""
+    return lambda spark, sf_dir: function(lines.explode_lines(view(spark, sf_dir)))
+
+
+def python(view: Query, function: Callable[[str], str]) -> Query:
+    """doc_id and a per-text operator of Python, in Arrow batches."""
+    return per_text(view, lambda text: text_udf(function)(text))
 
 
 def savings_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What dropping URL schemes and squeezing spaces saves, by language."""
-    docs = _table(spark, sf_dir, "documents").select("lang", "text")
+    """What squeezing spaces saves, by language."""
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
     slim = F.regexp_replace("text", " +", " ")
     per = docs.select("lang", estimate_tokens(F.col("text")).alias("before"), estimate_tokens(slim).alias("after"))
     total = per.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("before").alias("input_tokens"), F.sum("after").alias("output_tokens"))
     return total.withColumn("savings_pct", F.round(savings_pct(F.col("input_tokens"), F.col("output_tokens")), 4))
 
 
-QUERIES = {"savings_by_lang": savings_by_lang}
+def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), estimate_tokens(F.col("text")).alias("n_tokens"))
+
+
+def word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each word of the frequency table stands in the corpus, and its score; the small side is the table."""
+    found = lines.words(documents(spark, sf_dir)).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    known = found.join(F.broadcast(lexicon.frequency_table(spark)), "word")
+    return known.select("word", "n", "score", F.round(lexicon.word_score(F.col("word")), 4).alias("removal_score"))
+
+
+def filler_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and removable words of each document, by built-in expressions only."""
+    found = F.filter(F.split("text", r"[^\p{IsAlphabetic}\p{N}'_-]+"), lambda w: w != "")
+    score = lambda w: F.coalesce(F.element_at(_scores(), F.lower(w)), F.lit(0.0)) + F.when((F.octet_length(w) <= 3) & ~w.rlike(r"^\p{Lu}"), 0.3).otherwise(0.0)
+    gone = F.filter(found, lambda w: ~F.lower(w).isin(*sorted(lexicon.PROTECTED)) & (score(w) >= 0.6))
+    return documents(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n_words"), F.size(gone).cast("long").alias("n_filler"))
+
+
+def _scores() -> Column:
+    return F.create_map(*(F.lit(x) for kv in lexicon.FREQUENCY.items() for x in kv))
+
+
+def grammar_coverage_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of conversations that the benchmark's texts never use, counted: an anti join on words."""
+    own = lines.words(table(spark, sf_dir, "conversations"), "conv_id").groupBy("word").agg(F.count("*").alias("n"))
+    return own.join(lines.words(table(spark, sf_dir, "benchmark"), "item_id").select("word").distinct(), "word", "left_anti")
+
+
+def level_3_guarded(text: Column) -> Column:
+    third = T.level_3(text)
+    legend = F.when(T.has_markers(third), F.lit(restructure.LEGEND)).otherwise("")
+    return T.shorter(F.concat(legend, third), text)
+
+
+def minified(level: Level, view: Query = md_orders, **more) -> Query:
+    config = Config(level, **more)
+    return lambda spark, sf_dir: minify(view(spark, sf_dir), config=config).drop("text")
+
+
+#: The settings of the corpus queries.
+GRID = ("L0", "L1", "L2", "L3", "L4", "L2_g", "L2_d")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return md_geo(spark, sf_dir).unionByName(md_conversations(spark, sf_dir).withColumn("doc_id", F.col("doc_id") + 1000))
+
+
+def suite(function: Callable[..., DataFrame], with_corpus: bool = False) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = corpus(spark, sf_dir)
+        runs = suites.run_grid(docs, {k: v for k, v in suites.grid().items() if k in GRID})
+        return function(runs, docs) if with_corpus else function(runs)
+
+    return run
+
+
+def config_grid_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all 14 settings over the corpus."""
+    return suites.token_savings(suites.run_grid(corpus(spark, sf_dir)))
+
+
+def recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = md_orders(spark, sf_dir)
+    return evaluate(docs.withColumn("output", minify_output(F.col("text"), Config(Level.ULTRA, grammar=GrammarLevel.MEDIUM, dictionary=True))))
+
+
+def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(recalls(spark, sf_dir))
+
+
+def threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recalls(spark, sf_dir).select("doc_id", "checks_passed", "checks_total", "pass")
+
+
+def set_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fence languages before and after fences lose theirs in every other document."""
+    docs = md_orders(spark, sf_dir)
+    other = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("```python"), F.lit("```"))).otherwise(F.col("text"))
+    return docs.select("doc_id", E.compare_sets(E.code_languages(F.col("text")), E.code_languages(other)).alias("x")).select("doc_id", "x.*")
+
+
+def answer_overlap_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of each turn's words with those of the turn before."""
+    turns = table(spark, sf_dir, "conversations").withColumn("rn", F.row_number().over(_turns()))
+    before = turns.select("conv_id", (F.col("rn") + 1).alias("rn"), F.col("text").alias("before"))
+    return turns.join(before, ["conv_id", "rn"]).select("conv_id", "rn", F.round(E.overlap_f1(F.col("before"), F.col("text")), 4).alias("f1"))
+
+
+def _turns():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+
+
+def dict_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a header and references made here, expanded."""
+    made = F.concat(F.lit("@dict:\n  @m1: AIR\n  @m10: RAIL\n"), F.replace(F.replace("text", F.lit("RAIL"), F.lit("@m10")), F.lit("AIR"), F.lit("@m1")))
+    return corpus(spark, sf_dir).select("doc_id", T.dict_expand(made).alias("output"))
+
+
+def structure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = E.structure(F.col("text"))
+    return md_orders(spark, sf_dir).select("doc_id", x.alias("x")).select(
+        "doc_id",
+        F.array_join("x.headings", "/").alias("headings"),
+        F.array_join("x.list_items", "/").alias("list_items"),
+        F.array_join(F.transform("x.table_rows", lambda r: F.array_join(r, ",")), "/").alias("table_rows"),
+    )
+
+
+def _joined(function: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda text: F.array_join(function(text), "/")
+
+
+def markdown_rows(view: Query, function: Callable[[DataFrame], DataFrame]) -> Query:
+    return per_line(view, function)
+
+
+QUERIES: dict[str, Query] = {
+    "savings_by_lang": savings_by_lang,
+    "token_stats": token_stats,
+    # built-in expressions over texts
+    "strip_html_comments": per_text(pages, T.strip_comments),
+    "strip_url_protocol": per_text(md_orders, T.strip_schemes),
+    "strip_frontmatter": per_text(md_orders, T.strip_frontmatter),
+    "collapse_blank_lines": per_text(md_orders, T.squeeze_lines),
+    "strip_edges": per_text(documents, T.strip_edges),
+    "strip_short_comments": per_text(md_events, T.strip_short_comments),
+    "minify_code": per_text(md_orders, T.minify_spaces),
+    "level3": per_text(md_orders, T.level_3),
+    "level3_guarded": per_text(md_orders, level_3_guarded),
+    "fence_lang_shorten": per_text(md_events, lambda x: T.shorten_languages(F.replace(x, F.lit("```json\n"), F.lit("{````python ")))),
+    "legend_flag": per_text(documents, T.has_markers, "has_markers"),
+    "dict_expand": dict_expand,
+    "strip_markdown": per_text(md_orders, lambda x: E.strip_markdown(x)),
+    # lines as rows
+    "fence_parity": per_line(md_orders, lambda x: lines.with_fences(x).select("doc_id", F.col("pos").cast("long").alias("pos"), "is_fence", "in_code")),
+    "normalize_headings": per_line(md_orders, lambda x: lines.assemble(lines.normalize_headings(x))),
+    "compress_tables": per_line(md_orders, lambda x: lines.assemble(lines.compress_tables(x))),
+    "compress_list_items": per_line(md_orders, lambda x: lines.assemble(lines.merge_items(x))),
+    "parse_headings": per_line(md_orders, lambda x: x.select("doc_id", F.col("pos").cast("long").alias("pos"), T.heading_title(F.col("line")).alias("title")).where("title is not null")),
+    "level4_groups": per_line(md_orders, lambda x: lines.assemble(lines.group_sections(x))),
+    "section_numbers": per_line(md_conversations, lambda x: lines.with_sections(x).select("doc_id", F.col("pos").cast("long").alias("pos"), "section")),
+    "dedup_lines": per_line(documents, lambda x: lines.assemble(lines.replace_repeats(x))),
+    "dedup_blocks_candidates": per_line(documents, lambda x: lines.repeated_blocks(x).select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.octet_length("block").cast("long").alias("n_bytes"), "n", F.col("first_pos").cast("long").alias("first_pos"))),
+    "dict_seed_counts": lambda spark, sf_dir: lines.seed_counts(md_orders(spark, sf_dir)),
+    "word_scores": word_scores,
+    "filler_share": filler_share,
+    "grammar_coverage_anti": grammar_coverage_anti,
+    # what texts hold
+    "extract_structure": structure_counts,
+    "extract_headings": per_text(md_orders, _joined(E.headings), "headings"),
+    "extract_code_languages": per_text(md_orders, _joined(E.code_languages), "languages"),
+    "extract_code_lines": per_text(md_orders, _joined(E.code_lines), "code"),
+    "extract_tables": per_text(md_orders, _joined(E.table_cells), "cells"),
+    "extract_links": per_text(md_orders, lambda x: F.array_join(E.links(F.regexp_replace(x, r"https://(\S+)", r"[order](https://$1)")), "/"), "links"),
+    "extract_list_items": per_text(md_orders, _joined(E.list_items), "items"),
+    "extract_inline_code": per_text(md_orders, lambda x: F.array_join(E.inline_code(F.replace(x, F.lit("**"), F.lit("`"))), "/"), "code"),
+    "extract_blockquotes": per_text(md_geo, lambda x: F.array_join(E.block_quotes(F.replace(x, F.lit("- "), F.lit("> "))), "/"), "quotes"),
+    "set_compare": set_compare,
+    "answer_overlap_f1": answer_overlap_f1,
+    # per-text operators in Python
+    "apply_structure_l1": python(md_orders, lambda x: scan.apply_structure(x, Level.LIGHT)),
+    "apply_structure_l3": python(md_orders, lambda x: scan.apply_structure(x, Level.STRUCTURED)),
+    "flatten_nested_lists": python(md_geo, lists.flatten_nested),
+    "inline_tiny_sections": python(md_orders, lists.inline_tiny_sections),
+    "compress_code_blocks": python(md_orders, code.compress_blocks),
+    "strip_code_comments": python(md_events, lambda x: code.strip_comments(x, "js")),
+    "grammar_strip": python(documents, grammar.strip_grammar),
+    "deduplicate": python(documents, dedup.deduplicate),
+    "dictionary_compress": python(documents, dictionary.compress),
+    "level4": python(md_orders, restructure.level_4),
+    # whole settings and the corpus report
+    "minify_l0": minified(Level.OFF),
+    "minify_l1": minified(Level.LIGHT),
+    "minify_l2": minified(Level.MEDIUM),
+    "minify_l3": minified(Level.STRUCTURED),
+    "minify_l4": minified(Level.ULTRA, grammar=GrammarLevel.MEDIUM, dictionary=True),
+    "minify_documents": minified(Level.ULTRA, documents, grammar=GrammarLevel.MEDIUM, dictionary=True),
+    "config_grid_savings": config_grid_savings,
+    "monotonicity": suite(suites.monotonicity),
+    "structure_preservation": suite(suites.structure_preservation, True),
+    "grammar_coverage": suite(suites.grammar_coverage),
+    "dictionary_reversibility": suite(suites.dictionary_reversibility),
+    "recall_checks": recalls,
+    "threshold_gate": threshold_gate,
+    "corpus_summary": corpus_summary,
+}

@@ -52,7 +52,7 @@ def structure_preservation(runs: DataFrame, corpus: DataFrame, id_col: str = "do
     cols = []
     for field, name in (("headings", "headings"), ("list_items", "lists"), ("table_rows", "tables")):
         a, b = F.col(f"before.{field}"), F.col(f"after.{field}")
-        cols += [F.sum(F.size(a)).alias(f"{name}_total"), F.sum(F.size(F.filter(a, lambda x, b=b: F.array_contains(b, x)) if field != "table_rows" else _held(a, b))).alias(f"{name}_match")]
+        cols += [F.sum(F.size(a)).alias(f"{name}_total"), F.sum(F.size(_held(a, b))).alias(f"{name}_match")]
     return both.groupBy("config").agg(*cols)
 
 
