@@ -26,7 +26,7 @@ def lines(text: Column) -> Column:
 
 def joined(parts: Column) -> Column:
     """Every line ended by \\n."""
-    return F.when(F.size(parts) > 0, F.concat(F.array_join(parts, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    return F.when(F.size(parts) > 0, F.concat(F.array_join(parts, "\n"), F.lit("\n"))).when(parts.isNotNull(), F.lit(""))
 
 
 def strip_schemes(text: Column) -> Column:
@@ -51,7 +51,7 @@ def squeeze_lines(text: Column) -> Column:
 def strip_edges(text: Column) -> Column:
     """Without blank lines at the start and end, and without the last line end."""
     body = F.array_join(lines(text), "\n")
-    return F.when(body.rlike(r"\S"), F.regexp_replace(F.regexp_replace(body, r"\A\s*\n", ""), r"\n\s*\z", "")).otherwise(F.lit(""))
+    return F.when(body.rlike(r"\S"), F.regexp_replace(F.regexp_replace(body, r"\A\s*\n", ""), r"\n\s*\z", "")).when(body.isNotNull(), F.lit(""))
 
 
 def strip_short_comments(text: Column) -> Column:
