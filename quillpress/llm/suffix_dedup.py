@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,10 +216,24 @@ def remove_earlier_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str
             for rows, offsets, pieces in chunks(binary_column(batch, "text"), length):
                 p, at, _, _, h = anchors(pieces, length, k)
                 rows, offsets = np.array(rows, np.int64), np.array(offsets, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[rows[p]]), pa.array(offsets[p] + at)], names=["h", "doc", "at"])
-
-    spots = texts.select("doc", "text").mapInArrow(find, "h long, doc long, at long")
-    twice = spots.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+                order = np.argsort(h, kind="stable")
+                h, where, place = h[order], doc[rows[p[order]]], (offsets[p] + at)[order]
+                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else order
+                count = np.diff(np.concatenate((first, [len(h)]))) if len(h) else order
+                extra = np.ones(len(h), bool)
+                extra[first] = False
+                more = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate(([0], np.cumsum(count - 1))).astype(np.int32)),
+                    pa.StructArray.from_arrays([pa.array(where[extra]), pa.array(place[extra])], names=["doc", "at"]),
+                )
+                more = pa.array([None] * len(first), more.type) if not extra.any() else pc.if_else(pa.array(count > 1), more, pa.scalar(None, more.type))
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(count), pa.array(where[first]), pa.array(place[first]), more], names=["h", "c", "doc", "at", "more"])
+
+    # one row for a hash and chunk of text, so a hash that many documents share comes once for each chunk
+    spots = texts.select("doc", "text").mapInArrow(find, "h long, c long, doc long, at long, more array<struct<doc:bigint,at:bigint>>")
+    twice = spots.withColumn("n", F.sum("c").over(Window.partitionBy("h"))).where("n > 1")
+    one = F.array(F.struct("doc", "at"))
+    twice = twice.select("n", F.inline(F.when(F.col("more").isNull(), one).otherwise(F.concat(one, "more"))))
     meta = texts.select("id", "doc", F.xxhash64("text").alias("uid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
     firsts = meta.groupBy("digest").agg(F.min("doc").alias("first"))
     meta = materialize(meta.join(firsts, "digest").withColumn("copy", F.col("doc") > F.col("first")), "suffix-meta")
