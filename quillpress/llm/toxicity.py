@@ -27,7 +27,8 @@ table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,15 +75,25 @@ def windows_of(words: list[bytes], s: Settings) -> list[list[bytes]]:
 
 
 class Bag:
-    """Windows as flat arrays: each window's words, each distinct word's rows of the table."""
+    """Windows of documents as flat arrays: each window's document and words, each distinct word's rows of the table."""
 
-    def __init__(self, windows: list[list[bytes]], s: Settings):
+    def __init__(self, docs: Iterable[list[list[bytes]]], s: Settings):
         index: dict[bytes, int] = {}
-        self.words = np.array([index.setdefault(w, len(index)) for x in windows for w in x], np.int64)
-        self.first = np.concatenate(([0], np.cumsum([len(x) for x in windows]))).astype(np.int64)
-        rows = [subwords(w, s) for w in index]
-        self.rows = np.array([r for x in rows for r in x], np.int64)
-        self.row_first = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int64)
+        words, first, doc, rows, row_first = array("i"), array("q", [0]), array("i"), array("i"), array("q", [0])
+        self.docs = 0
+        for windows in docs:
+            for window in windows:
+                for w in window:
+                    at = index.setdefault(w, len(index))
+                    words.append(at)
+                    if at == len(row_first) - 1:  # a new word
+                        rows.extend(subwords(w, s))
+                        row_first.append(len(rows))
+                first.append(len(words))
+                doc.append(self.docs)
+            self.docs += 1
+        self.words, self.first, self.doc = np.array(words), np.array(first), np.array(doc, dtype=np.int64)
+        self.rows, self.row_first = np.array(rows), np.array(row_first)
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,26 +144,26 @@ class Model:
 
     def logits(self, bag: Bag) -> np.ndarray:
         weight, bias = self.direction()
-        size = np.diff(bag.row_first)
-        holder = np.repeat(np.arange(len(size)), size)
-        of_word = np.bincount(holder, weight[bag.rows], len(size)) / np.maximum(size, 1)
-        owner = np.repeat(np.arange(len(bag.first) - 1), np.diff(bag.first))
-        return np.bincount(owner, of_word[bag.words], len(bag.first) - 1) + bias
+        of_word = np.empty(len(bag.row_first) - 1)
+        for at in range(0, len(of_word), 1 << 16):
+            edge = bag.row_first[at : at + (1 << 16) + 1]
+            of_word[at : at + (1 << 16)] = np.add.reduceat(weight[bag.rows[edge[0] : edge[-1]]].astype(np.float64), edge[:-1] - edge[0]) / np.diff(edge)
+        owner = np.repeat(np.arange(len(bag.doc)), np.diff(bag.first))
+        return np.bincount(owner, of_word[bag.words], len(bag.doc)) + bias
 
 
 def train(texts: list[bytes], labels: list[int], s: Settings) -> Scorer:
     """Fit on labelled texts."""
-    return train_windows([windows_of(words_of(x), s) for x in texts], labels, s)
+    return train_windows((windows_of(words_of(x), s) for x in texts), labels, s)
 
 
-def train_windows(windows: list[list[list[bytes]]], labels: list[int], s: Settings) -> Scorer:
-    """Fit on labelled documents that are cut into windows of words."""
+def train_windows(docs: Iterable[list[list[bytes]]], labels: list[int], s: Settings) -> Scorer:
+    """Fit on labelled documents that are cut into windows of words; the windows are read once."""
     y = np.array(labels, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return Scorer(np.zeros(s.buckets, np.float32), 0.0, 0.0, float(np.clip(_logit(y.mean() if len(y) else 0.0), -9, 9)), s)
-    model = Model(s)
-    doc = np.repeat(np.arange(len(windows)), [len(x) for x in windows])
-    bag = Bag([w for x in windows for w in x], s)
+    model, bag = Model(s), Bag(docs, s)
+    doc = bag.doc
     toxic = y[doc] == 1
     chosen = np.arange(len(doc))
     for i in range(s.epochs):
@@ -162,7 +173,7 @@ def train_windows(windows: list[list[list[bytes]]], labels: list[int], s: Settin
         rank = np.empty(len(doc), np.int64)
         rank[order] = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
         chosen = np.flatnonzero(~toxic | (rank < (3 if i + 1 < s.epochs // 2 else 1)))
-    worst = np.full(len(windows), -np.inf)
+    worst = np.full(bag.docs, -np.inf)
     np.maximum.at(worst, doc, model.logits(bag))
     a, b = _calibrate(worst, y)
     weight, bias = model.direction()
@@ -248,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 
     rows = text.join(F.broadcast(pick), "id").select("id", "label", "text").mapInArrow(cut, "id long, label int, windows binary").collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["windows"])))
-    return train_windows([[x.split() for x in bytes(r["windows"]).split(b"\n")] for r in rows], [r["label"] for r in rows], s)
+    return train_windows(([x.split() for x in bytes(r["windows"]).split(b"\n")] for r in rows), [r["label"] for r in rows], s)
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
