@@ -50,7 +50,8 @@ class Settings:
     max_docs: int = 2500
     max_windows: int = 48
     epochs: int = 6
-    rate: float = 0.1
+    steps: int = 500
+    rate: float = 0.2
     batch: int = 256
     seed: int = 7
     threshold: float = 0.7
@@ -107,7 +108,7 @@ class Model:
 
     def __init__(self, s: Settings):
         rng = np.random.default_rng(s.seed)
-        self.s, self.rng = s, rng
+        self.s, self.rng, self.batch = s, rng, s.batch
         self.table = rng.uniform(-1, 1, (s.buckets, s.dims)).astype(np.float32) / s.dims
         self.out = np.zeros((s.dims, 2), np.float32)
         self.bias = np.zeros(2, np.float32)
@@ -116,9 +117,9 @@ class Model:
     def epoch(self, bag: Bag, chosen: np.ndarray, label: np.ndarray, rate: float) -> None:
         """One pass over the chosen windows; the gradient goes through the average to every n-gram."""
         order = self.rng.permutation(len(chosen))
-        for at in range(0, len(order), self.s.batch):
-            mine = chosen[order[at : at + self.s.batch]]
-            y = label[order[at : at + self.s.batch]]
+        for at in range(0, len(order), self.batch):
+            mine = chosen[order[at : at + self.batch]]
+            y = label[order[at : at + self.batch]]
             owner, where = _ranges(bag.first[mine], bag.first[mine + 1])
             words, inverse = np.unique(bag.words[where], return_inverse=True)
             holder, rows = _ranges(bag.row_first[words], bag.row_first[words + 1])
@@ -166,13 +167,16 @@ def train_windows(docs: Iterable[list[list[bytes]]], labels: list[int], s: Setti
     doc = bag.doc
     toxic = y[doc] == 1
     chosen = np.arange(len(doc))
-    for i in range(s.epochs):
-        model.epoch(bag, chosen, y[doc[chosen]], s.rate * (1 - i / (s.epochs + 1)))
+    # a small sample gets smaller batches and more passes, so that it is learnt as well
+    model.batch = int(np.clip(len(doc) // 64, 16, s.batch))
+    passes = max(s.epochs, min(40, -(-s.steps * model.batch // len(doc))))
+    for i in range(passes):
+        model.epoch(bag, chosen, y[doc[chosen]], s.rate * (1 - i / (passes + 1)))
         logit = model.logits(bag)
         order = np.lexsort((-logit, doc))  # the worst windows of each document first
         rank = np.empty(len(doc), np.int64)
         rank[order] = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
-        chosen = np.flatnonzero(~toxic | (rank < (3 if i + 1 < s.epochs // 2 else 1)))
+        chosen = np.flatnonzero(~toxic | (rank < (3 if i + 1 < passes // 2 else 1)))
     worst = np.full(bag.docs, -np.inf)
     np.maximum.at(worst, doc, model.logits(bag))
     a, b = _calibrate(worst, y)
