@@ -1,18 +1,33 @@
 """Filler words and long phrases in prose, code and addresses left alone.
 
-Two passes, as in the reference semantics: phrases are replaced by short forms, then words whose
-score reaches the level's threshold are dropped unless a negation holds.  Both go from one place
-of interest to the next by compiled patterns rather than character by character.
+Two passes: phrases are replaced by short forms, then words whose score reaches the level's
+threshold are dropped unless a negation holds.  Both go from one place of interest to the next by
+compiled patterns rather than character by character.  Lines without code ticks take a shorter
+way, with the standard library's patterns, wherever its word characters are the same ones.
 """
 
 from __future__ import annotations
 
+import re
+
 import regex
 
 from ..config import GrammarLevel
 from ..functions.lexicon import FREQUENCY, NEGATION, PROTECTED, REPLACEMENTS
 from .textlines import ALNUM, size
 
+def _trie(words: list[str]) -> str:
+    """A pattern of the words that shares their beginnings; it takes the longest that fits."""
+    if words == [""]:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    options = [re.escape(c) + _trie(rest) for c, rest in heads.items()]
+    return f"(?:{'|'.join(options)}){'?' if '' in words else ''}" if len(options) > 1 or "" in words else options[0]
+
+
 _ADDRESS = rf"[{ALNUM}+\-./:~_]"
 _PHRASE = regex.compile(rf"(?<![{ALNUM}_])(?:{'|'.join(map(regex.escape, REPLACEMENTS))})")
 #: A tick, a run of address characters with a dot or colon, or a phrase: whatever comes first.
@@ -40,7 +55,33 @@ def _domain(ahead: str) -> bool:
     return dot >= 0 and "/" in plain[dot:]
 
 
+#: Characters on which \\w and the classes above differ: marks, and letters in circles and squares.
+_ODD = regex.compile(r"[\p{M}\u24b6-\u24e9\U0001f130-\U0001f189]")
+_SENTENCE = r"[^\W\d_]{1,30}\.(?=[ \"')\]>\n]|\Z)"
+#: A word with a full stop, which stays, or a phrase.
+_PLAIN_NEXT = re.compile(rf"(?<![\w+\-./:~]){_SENTENCE}|(?<!\w){_trie(list(REPLACEMENTS))}")
+#: A run of address characters with a dot or colon that is no such word.
+_PLAIN_ADDRESS = re.compile(rf"(?<![\w+\-./:~])(?!{_SENTENCE})[\w+\-/~]*[.:]")
+
+
+def _plain(text: str) -> bool:
+    return text.isascii() or not _ODD.search(text)
+
+
+def _short(m: re.Match) -> str:
+    return REPLACEMENTS.get(m[0], m[0])
+
+
 def replace_phrases(text: str) -> str:
+    if "`" in text or not _plain(text):
+        return _replace_any(text)
+    if not _PLAIN_ADDRESS.search(text):
+        return _PLAIN_NEXT.sub(_short, text)
+    # neither an address nor a phrase goes over a line's end
+    return "\n".join([_replace_any(x) if _PLAIN_ADDRESS.search(x) else _PLAIN_NEXT.sub(_short, x) for x in text.split("\n")])
+
+
+def _replace_any(text: str) -> str:
     out: list[str] = []
     i, n = 0, len(text)
     code = tick = False
@@ -107,7 +148,52 @@ def score(word: str, sentence_start: bool) -> float:
     return FREQUENCY.get(lower, 0.0) + 0.3 * (size(word) <= 3 and not _UPPER.match(word)) - 0.5 * sentence_start
 
 
+_PLAIN_WORD = re.compile(r"([\w'-]+)")
+_KEEP, _NEGATES = -1.0, -2.0
+#: What is known of a word as it is written: its score within a sentence, _KEEP or _NEGATES.
+_KNOWN: dict[str, float] = {}
+
+
+def _know(word: str) -> float:
+    lower = word.lower()
+    value = _NEGATES if lower in NEGATION else _KEEP if lower in PROTECTED or lower not in FREQUENCY else score(word, False)
+    if len(_KNOWN) < 1_000_000:
+        _KNOWN[word] = value
+    return value
+
+
 def drop_words(text: str, threshold: float) -> str:
+    if "`" in text or not _plain(text):
+        return _drop_any(text, threshold)
+    parts = _PLAIN_WORD.split(text)  # what lies between words, words
+    known = _KNOWN
+    negated, start = False, True
+    for i in range(1, len(parts), 2):
+        after = parts[i + 1]
+        value = known.get(parts[i])
+        if value is None:
+            value = _know(parts[i])
+        if value == _KEEP and after[:1] == " ":
+            start = False
+            continue
+        if value == _NEGATES and after:
+            negated, start = True, False
+            continue
+        mark = after[:1]
+        if mark in _CLAUSE_END or mark in _SENTENCE_END:
+            negated = False
+            start = start or mark in _SENTENCE_END
+        if value != _KEEP and value != _NEGATES and not negated and value - 0.5 * start >= threshold:
+            parts[i] = ""
+            if mark == " ":
+                parts[i + 1] = after[1:]
+        else:
+            start = False
+    out = "".join(parts)
+    return re.sub(" +", " ", out) if "  " in out else out
+
+
+def _drop_any(text: str, threshold: float) -> str:
     out: list[str] = []
     word = ""
     code = tick = negated = False

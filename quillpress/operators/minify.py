@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import CodeMode, Config, Level
 from ..functions.tokens import estimate_tokens, savings_pct
 from . import code, dedup, dictionary, grammar, lists, restructure, scan
+from .spread import spread
 
 # Schemes that addresses lose, in this order.
 SCHEMES = ("https://", "http://", "file://", "ftp://")
@@ -81,6 +82,8 @@ def minify(df: DataFrame, text_col: str = "text", config: Config = Config(), on_
     """df with output, input_tokens, output_tokens and savings_pct; on_error "keep" keeps a failed row's text and adds error."""
     if on_error not in ("raise", "keep"):
         raise ValueError("on_error must be raise or keep")
+    if config.level is not Level.OFF or config.grammar is not None:
+        df = spread(df)
     text = F.col(text_col)
     if on_error == "raise":
         out = df.withColumn("output", minify_output(text, config))

@@ -15,6 +15,7 @@ from ..functions.tokens import estimate_tokens, savings_pct
 from ..operators import code, dedup, dictionary, grammar, lines, lists, restructure, scan
 from ..operators.minify import minify, minify_output, text_udf
 from ..operators.recall import evaluate, summary
+from ..operators.spread import spread
 from . import suites
 from .views import md_conversations, md_events, md_geo, md_orders, table
 
@@ -41,7 +42,7 @@ def per_line(view: Query, function: Callable[[DataFrame], DataFrame]) -> Query:
 
 def python(view: Query, function: Callable[[str], str]) -> Query:
     """doc_id and a per-text operator of Python, in Arrow batches."""
-    return per_text(view, lambda text: text_udf(function)(text))
+    return per_text(lambda spark, sf_dir: spread(view(spark, sf_dir)), lambda text: text_udf(function)(text))
 
 
 def savings_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +104,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suite(function: Callable[..., DataFrame], with_corpus: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = corpus(spark, sf_dir)
+        docs = spread(corpus(spark, sf_dir))
         runs = suites.run_grid(docs, {k: v for k, v in suites.grid().items() if k in GRID})
         return function(runs, docs) if with_corpus else function(runs)
 
