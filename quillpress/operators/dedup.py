@@ -7,6 +7,7 @@ that a group has looked at is not looked at again, whether or not it was replace
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable
 from itertools import accumulate
 
@@ -63,10 +64,15 @@ def deduplicate(text: str) -> str:
         for s, e in free[1:]:
             cuts[s] = (e, f"[see §{max(1, sections[free[0][0]])}]")
 
-    if len(numbers) < n:  # equal blocks hold equal lines
+    if len(numbers) < n:  # equal blocks are made of equal triples of lines
+        triples = list(zip(ids, ids[1:], ids[2:], strict=False))
+        often = Counter(triples)
         blocks: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        reach = [0] * (n + 1)  # the end of the longest block from a line on that can be a repeated one
+        for s in range(n - MIN_LINES, -1, -1):
+            reach[s] = 0 if often[triples[s]] < 2 else max(reach[s + 1], s + MIN_LINES)
         for s in range(n):
-            for e in range(s + MIN_LINES, min(s + MAX_LINES, n) + 1):
+            for e in range(s + MIN_LINES, min(s + MAX_LINES, reach[s]) + 1):
                 if weighty(s, e) and not one_fence(s, e):
                     blocks.setdefault(tuple(ids[s:e]), []).append((s, e))
         for _, spans in sorted(((len(k), v) for k, v in blocks.items() if len(v) > 1), key=lambda x: (-x[0], x[1][0])):

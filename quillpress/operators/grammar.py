@@ -72,9 +72,35 @@ def _short(m: re.Match) -> str:
     return REPLACEMENTS.get(m[0], m[0])
 
 
+#: An address that goes on over a tick.
+_TICKED_ADDRESS = re.compile(r"[.:][^ \"')\]>\n`]*`")
+_TICK = re.compile(r"```[^\n]*|`")
+
+
 def replace_phrases(text: str) -> str:
-    if "`" in text or not _plain(text):
+    if not _plain(text) or "`" in text and _TICKED_ADDRESS.search(text):
         return _replace_any(text)
+    if "`" not in text:
+        return _replace_plain(text)
+    out: list[str] = []
+    code = tick = False
+    at = 0
+    for m in _TICK.finditer(text):
+        if code and len(m[0]) == 1:
+            continue  # single ticks mean nothing in code
+        out.append(text[at : m.start()] if code or tick else _replace_plain(text[at : m.start()]))
+        out.append(m[0])
+        at = m.end()
+        if len(m[0]) > 1:
+            code = not code
+        else:
+            tick = not tick
+    out.append(text[at:] if code or tick else _replace_plain(text[at:]))
+    return "".join(out)
+
+
+def _replace_plain(text: str) -> str:
+    """Prose without ticks."""
     if not _PLAIN_ADDRESS.search(text):
         return _PLAIN_NEXT.sub(_short, text)
     # neither an address nor a phrase goes over a line's end
@@ -163,11 +189,41 @@ def _know(word: str) -> float:
 
 
 def drop_words(text: str, threshold: float) -> str:
-    if "`" in text or not _plain(text):
+    if not _plain(text):
         return _drop_any(text, threshold)
+    out: list[str] = []
+    state, word = (False, True), ""
+    code = tick = False
+    pieces = _PAIR.split(text)  # prose or code, ticks, prose or code, ...
+    for i in range(0, len(pieces), 2):
+        if code or tick:
+            out.append(pieces[i])
+        else:  # a word goes on behind code that stands in it
+            state, word = _drop_plain(word + pieces[i], threshold, state, out, i + 1 == len(pieces))
+        if i + 1 < len(pieces):
+            pair = len(pieces[i + 1]) > 1
+            out.append("```" if pair else "`")
+            code, tick = code ^ pair, tick ^ (not pair)
+    if word:  # the text ends in code
+        parts: list[str] = []
+        _drop_plain(word, threshold, state, parts, True)
+        out += parts
+    done = "".join(out)
+    return re.sub(" +", " ", done) if "  " in done else done
+
+
+_PAIR = re.compile("(``|`)")
+
+
+def _drop_plain(text: str, threshold: float, state: tuple[bool, bool], out: list[str], last: bool) -> tuple[tuple[bool, bool], str]:
+    """Prose without ticks, to out; the state (negated, sentence start) after it and, unless it is the last, a word that it ends in."""
     parts = _PLAIN_WORD.split(text)  # what lies between words, words
+    rest = ""
+    if not last and len(parts) > 1 and not parts[-1]:
+        rest = parts[-2]
+        del parts[-2:]
     known = _KNOWN
-    negated, start = False, True
+    negated, start = state
     for i in range(1, len(parts), 2):
         after = parts[i + 1]
         value = known.get(parts[i])
@@ -189,8 +245,8 @@ def drop_words(text: str, threshold: float) -> str:
                 parts[i + 1] = after[1:]
         else:
             start = False
-    out = "".join(parts)
-    return re.sub(" +", " ", out) if "  " in out else out
+    out.append("".join(parts))
+    return (negated, start), rest
 
 
 def _drop_any(text: str, threshold: float) -> str:
