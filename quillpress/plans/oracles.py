@@ -158,4 +158,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT conv_id, CAST(rn AS INTEGER) AS rn, round(CASE WHEN len(x) > 0 THEN CASE WHEN len(y) > 0 THEN 2 * p * r / greatest(p + r, 0.001) ELSE 0 END END, 4) AS f1 FROM q""",
     "flatten_nested_lists": f"WITH {MD_GEO} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^## Region\\n- ', '## Region' || chr(10)), '\\n  - ', ':   '), '\\n  - ', ',   ', 'g') AS output FROM md",
     "minify_l0": f"WITH {MD_ORDERS} SELECT doc_id, text AS output, CAST(strlen(text) // 4 AS BIGINT) AS input_tokens, CAST(strlen(text) // 4 AS BIGINT) AS output_tokens, 0.0::DOUBLE AS savings_pct FROM md",
+    "apply_structure_l1": text_sql(MD_ORDERS, "replace(replace(substr(text, 5), '**Status:**', 'Status:'), '***' || chr(10), '')"),
+    "inline_tiny_sections": lines_sql(MD_ORDERS, "SELECT doc_id, text AS output FROM o", rf"""
+        , c AS (SELECT *, sum(CAST(starts_with(line, '```') AS INT)) OVER w % 2 = 1 OR starts_with(line, '```') AS code, regexp_replace(lead(line) OVER w, '^\s+|\s+$', '', 'g') AS below FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+        m AS (SELECT *, NOT code AND ends_with(line, ':') AND NOT regexp_matches(line, '^[ @]') AND coalesce(below, '') <> '' AND strlen(below) <= 50 AND NOT regexp_matches(below, '^[-*] ') AND NOT ends_with(below, ':') AS merges FROM c),
+        k AS (SELECT *, coalesce(lag(merges) OVER (PARTITION BY doc_id ORDER BY pos), false) AS taken FROM m),
+        o AS (SELECT doc_id, string_agg(CASE WHEN merges THEN regexp_replace(line, ':+$', '') || ': ' || below ELSE line END, chr(10) ORDER BY pos) || chr(10) AS text FROM k WHERE NOT taken GROUP BY doc_id)"""),
+    "compress_code_blocks": lines_sql(MD_ORDERS, "SELECT doc_id, text AS output FROM o", rf"""
+        , c AS (SELECT *, sum(CAST(starts_with(line, '```') AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AND NOT starts_with(line, '```') AS code FROM l),
+        k AS (SELECT doc_id, pos, CASE WHEN code THEN {_nested("regexp_replace(regexp_replace(line, '([(\[,]) ', '\\1', 'g'), ' ([)\\];}])', '\\1', 'g')".replace("\\\\", "\\"), _OPERATORS)} ELSE line END AS line FROM c
+              WHERE NOT code OR (regexp_matches(line, '\S') AND NOT (regexp_matches({_T}, '^#') AND strlen({_T}) < 20))),
+        o AS ({AGAIN} k GROUP BY doc_id)"""),
+    "strip_code_comments": "SELECT event_id AS doc_id, chr(10) || 'let u = \"http://a/b\";  f(' || event_id || ') ' || chr(10) AS output FROM events",
 }
+
+ORACLE_SQL["level4"] = f"""WITH g AS ({ORACLE_SQL["level4_groups"]}) SELECT doc_id, '---' || chr(10) || {_nested("text", _LANGUAGES)} AS output FROM g"""
+ORACLE_SQL["apply_structure_l3"] = f"""WITH t AS ({ORACLE_SQL["compress_tables"]})
+  SELECT doc_id, replace(replace(replace(replace(replace(text, '**Status:**', 'Status:'), '***' || chr(10), ''), '- [x] ', '+ '), '- [ ] ', '! '), '# Order ' || doc_id || chr(10), 'order ' || doc_id || ':' || chr(10)) AS output FROM t"""

@@ -54,6 +54,12 @@ def savings_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.withColumn("savings_pct", F.round(savings_pct(F.col("input_tokens"), F.col("output_tokens")), 4))
 
 
+def commented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of code per event, with comments and a string that looks like one."""
+    text = F.concat(F.lit("// "), F.col("event_type"), F.lit('\nlet u = "http://a/b"; /* c\nd */ f('), F.col("event_id").cast("string"), F.lit(") // end\n"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), text.alias("text"))
+
+
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), estimate_tokens(F.col("text")).alias("n_tokens"))
 
@@ -222,7 +228,7 @@ QUERIES: dict[str, Query] = {
     "flatten_nested_lists": python(md_geo, lists.flatten_nested),
     "inline_tiny_sections": python(md_orders, lists.inline_tiny_sections),
     "compress_code_blocks": python(md_orders, code.compress_blocks),
-    "strip_code_comments": python(md_events, lambda x: code.strip_comments(x, "js")),
+    "strip_code_comments": python(commented, lambda x: code.strip_comments(x, "js")),
     "grammar_strip": python(documents, grammar.strip_grammar),
     "deduplicate": python(documents, dedup.deduplicate),
     "dictionary_compress": python(documents, dictionary.compress),
