@@ -108,7 +108,7 @@ def binomial_tail(n: Column, k: Column, p: float, terms: int = 4096) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), top * summed))
 
 
-def certified_cutoffs(counted: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = 0.05, level: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+def certified_cutoffs(counted: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = 0.02, level: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """(stratum, rule, cutoff, rejected, holdout, p_value): the tightest certified cutoff of each rule and stratum."""
     good = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("label")).where("label = 1").select("id")
     held = counted.where(~base_failed()).join(good, "id")
@@ -129,7 +129,7 @@ def certified_cutoffs(counted: DataFrame, labels: DataFrame, rules: tuple[Rule,
     return passed.select("stratum", "rule", "best.*")
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = 0.05, level: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = 0.02, level: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """id, the counts, base_failed, failed_rules and kept for every row."""
     counted = materialize(counts(docs, id_col, text_col, stratum_col), "quality-counts")
     cutoffs = certified_cutoffs(counted, labels, rules, risk, level, id_col).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))

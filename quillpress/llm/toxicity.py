@@ -261,7 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
             parts = [b"\n".join(b" ".join(w) for w in windows_of(words_of(x), s)) for x in binary_column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], names=["id", "label", "windows"])
 
-    rows = text.join(F.broadcast(pick), "id").select("id", "label", "text").mapInArrow(cut, "id long, label int, windows binary").collect()
+    rows = text.join(F.broadcast(pick), "id").select("id", "label", "text").mapInArrow(cut, "id long, label int, windows binary")
+    rows = rows.groupBy("id", "label").agg(F.min("windows").alias("windows")).collect()  # a row for each id, however often it stands
     rows.sort(key=lambda r: (r["id"], bytes(r["windows"])))
     return train_windows(([x.split() for x in bytes(r["windows"]).split(b"\n")] for r in rows), [r["label"] for r in rows], s)
 

@@ -61,10 +61,10 @@ def labelled(n):
 def test_certifies_and_rejects(docs, spark):
     rows, labels = labelled(1600)
     known = spark.createDataFrame(labels, "doc_id long, quality int")
-    got = {r["id"]: r for r in apply_rules(docs(rows), known).collect()}
+    got = {r["id"]: r for r in apply_rules(docs(rows), known, risk=0.05).collect()}
     assert all(got[i]["kept"] for i in range(1600))
     assert not any(got[i]["kept"] for i in range(1600, len(rows))) and got[1600]["failed_rules"] == ["symbols"]
-    found = certified_cutoffs(counts(docs(rows)), known).collect()
+    found = certified_cutoffs(counts(docs(rows)), known, risk=0.05).collect()
     alpha = 0.05 / len(RULES)
     assert found and all(r["rejected"] < alpha * r["holdout"] and r["p_value"] <= 0.05 / len(RULES) / 2 for r in found)
 
@@ -84,7 +84,7 @@ def test_risk_holds_on_new_documents(docs, spark):
     make = lambda n: [{"text": " ".join(f"w{rnd.randrange(10**6)}{'#' * rnd.randint(0, 4) if rnd.random() < q else ''}" for _ in range(30))} for q in (rnd.random() for _ in range(n))]
     train, new = make(2500), make(1500)
     known = spark.createDataFrame([(i, 1) for i in range(2500)], "doc_id long, quality int")
-    got = apply_rules(docs(train + new), known).collect()
+    got = apply_rules(docs(train + new), known, risk=0.05).collect()
     lost = sum(not r["kept"] and not r["base_failed"] for r in got if r["id"] >= 2500)
     assert lost / 1500 <= 0.05
 
