@@ -32,6 +32,8 @@ def _nested(text: str, pairs) -> str:
 
 
 _OPERATORS = [(f" {x} ", x) for x in ("=", "+", "-", "*", "/", "==", "!=", "<", ">", "<=", ">=", "&&", "||")]
+#: Spaces after ( [ , and before ) ] ; }.
+_SPACES = r"regexp_replace(regexp_replace({}, '([(\[,]) ', '\1', 'g'), ' ([)\];}}])', '\1', 'g')"
 _LANGUAGES = [(f"{fence}{a} ", f"{fence}{b} ") for a, b in (("python", "py"), ("bash", "sh"), ("javascript", "js"), ("typescript", "ts"), ("markdown", "md")) for fence in ("{``````", "{````")]
 #: A document's lines joined again, in order, each ended.
 AGAIN = "SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) || chr(10) AS text FROM"
@@ -86,7 +88,7 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT doc_id, min(pos) AS a, max(pos) AS b FROM l WHERE regexp_matches(line, '\S') GROUP BY doc_id),
         o AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS x FROM l JOIN s USING (doc_id) WHERE pos BETWEEN a AND b GROUP BY doc_id)"""),
     "strip_short_comments": lines_sql(MD_EVENTS, "SELECT doc_id, text AS output FROM o", f", o AS ({AGAIN} l WHERE NOT (regexp_matches({_T}, '^(#|//|--|%|;)') AND strlen({_T}) < 20) GROUP BY doc_id)"),
-    "minify_code": text_sql(MD_ORDERS, _nested(r"regexp_replace(regexp_replace(text, '([(\[,]) ', '\1', 'g'), ' ([)\];}])', '\1', 'g')", _OPERATORS)),
+    "minify_code": text_sql(MD_ORDERS, _nested(_SPACES.format("text"), _OPERATORS)),
     "level3": lines_sql(MD_ORDERS, "SELECT doc_id, output FROM outs", _LEVEL3),
     "level3_guarded": lines_sql(
         MD_ORDERS,
@@ -166,7 +168,7 @@ ORACLE_SQL: dict[str, str] = {
         o AS (SELECT doc_id, string_agg(CASE WHEN merges THEN regexp_replace(line, ':+$', '') || ': ' || below ELSE line END, chr(10) ORDER BY pos) || chr(10) AS text FROM k WHERE NOT taken GROUP BY doc_id)"""),
     "compress_code_blocks": lines_sql(MD_ORDERS, "SELECT doc_id, text AS output FROM o", rf"""
         , c AS (SELECT *, sum(CAST(starts_with(line, '```') AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AND NOT starts_with(line, '```') AS code FROM l),
-        k AS (SELECT doc_id, pos, CASE WHEN code THEN {_nested("regexp_replace(regexp_replace(line, '([(\[,]) ', '\\1', 'g'), ' ([)\\];}])', '\\1', 'g')".replace("\\\\", "\\"), _OPERATORS)} ELSE line END AS line FROM c
+        k AS (SELECT doc_id, pos, CASE WHEN code THEN {_nested(_SPACES.format("line"), _OPERATORS)} ELSE line END AS line FROM c
               WHERE NOT code OR (regexp_matches(line, '\S') AND NOT (regexp_matches({_T}, '^#') AND strlen({_T}) < 20))),
         o AS ({AGAIN} k GROUP BY doc_id)"""),
     "strip_code_comments": "SELECT event_id AS doc_id, chr(10) || 'let u = \"http://a/b\";  f(' || event_id || ') ' || chr(10) AS output FROM events",

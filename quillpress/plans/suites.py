@@ -34,7 +34,7 @@ def token_savings(runs: DataFrame) -> DataFrame:
     """(config, tokens, bytes, savings_pct): totals, and percent of L0's bytes saved."""
     total = runs.groupBy("config").agg(F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
     whole = F.max(F.when(F.col("config") == "L0", F.col("bytes"))).over(Window.partitionBy(F.lit(1)))  # a row per config
-    return total.withColumn("savings_pct", (1 - F.col("bytes") / whole) * 100)
+    return total.withColumn("savings_pct", F.when(whole > 0, (1 - F.col("bytes") / whole) * 100).otherwise(0.0))
 
 
 def monotonicity(runs: DataFrame) -> DataFrame:
