@@ -12,7 +12,7 @@ A value without a target, or null, belongs to one rest category; so the cells ar
 any size of the corpus.  The rest's target is its share in the data.
 
 Defined results: null texts have no tokens; targets of categories without tokens are dropped
-and the others scaled to 1; where the targets contradict each other the last raked, the topics,
+and the others scaled to 1 (if none is left above 0, the data's shares hold); where the targets contradict each other the last raked, the topics,
 hold; cells without tokens, of empty texts only, are sampled at the budget's share; repeated
 rows share an id and a draw; extra columns stay; an empty table gives an empty result.
 """
@@ -56,6 +56,9 @@ def _category(value: Column, targets: dict[str, float]) -> Column:
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS) -> DataFrame:
     """cells (one column per dimension, tokens) with weight: shares that sum to 1 and meet the targets."""
+    for dim, wanted in targets.items():
+        if wanted and (min(wanted.values()) < 0 or not sum(wanted.values())):
+            raise ValueError(f"targets of {dim} must not be negative, nor all 0")
     everything = Window.partitionBy(F.lit(1))  # of the few cells
     now = cells.where("tokens > 0").withColumn("weight", F.col("tokens") / F.sum("tokens").over(everything))
     for dim, wanted in targets.items():
@@ -64,10 +67,11 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = R
         now = now.withColumn(f"{dim}_aim", aim)
         # each category once: its aim over its count of cells
         once = F.sum(F.col(f"{dim}_aim") / F.col("n")).over(everything)
-        now = now.withColumn("n", F.count("*").over(Window.partitionBy(dim))).withColumn(f"{dim}_aim", F.col(f"{dim}_aim") / once).drop("n")
+        now = now.withColumn("n", F.count("*").over(Window.partitionBy(dim))).withColumn(f"{dim}_aim", F.when(once > 0, F.col(f"{dim}_aim") / once).otherwise(share)).drop("n")
     for i in range(rounds):
         for dim in targets:
-            now = now.withColumn("weight", F.col("weight") * F.col(f"{dim}_aim") / F.sum("weight").over(Window.partitionBy(dim)))
+            share = F.sum("weight").over(Window.partitionBy(dim))
+            now = now.withColumn("weight", F.when(share > 0, F.col("weight") * F.col(f"{dim}_aim") / share).otherwise(0.0))
         if i % 6 == 5:
             now = materialize(now, "mixing-cells")
     return now.drop(*(f"{dim}_aim" for dim in targets))

@@ -77,3 +77,11 @@ def test_cases(docs):
     assert mix(df.where("doc_id < 0")).count() == 0
     plan = mix(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_zero_targets(spark):
+    df = spark.createDataFrame([("a", "x", 10), ("b", "x", 30), ("b", "y", 60)], "s string, l string, tokens long")
+    got = {(r["s"], r["l"]): r["weight"] for r in rake(df, {"s": {"a": 0.0, "b": 1.0}, "l": {"z": 1.0, "y": 0.0}}, 6).collect()}
+    assert got[("a", "x")] == 0 and sum(got.values()) == pytest.approx(1)
+    with pytest.raises(ValueError):
+        rake(df, {"s": {"a": 0.0}})
