@@ -136,3 +136,31 @@ def apply_rules(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RU
     judged = counted.join(cutoffs, "stratum", "left")
     failed = F.filter(F.array(*(F.when(F.expr(r.value) >= F.element_at("cutoffs", F.lit(r.name)), F.lit(r.name)) for r in rules)), lambda x: x.isNotNull())
     return judged.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("cutoffs")
+
+
+def sql(rules: tuple[Rule, ...] = RULES, risk: float = 0.02, level: float = 0.05) -> str:
+    """apply_rules() over documents and labels as SQL for DuckDB."""
+    alpha = risk / len(rules)
+    values = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r.name}' AS rule, {r.value} AS value, [{', '.join(map(str, r.cutoffs))}] AS cutoffs FROM held" for r in rules)
+    failed = " OR ".join(f"coalesce({r.value} >= max(cutoff) FILTER (rule = '{r.name}'), false)" for r in rules)
+    columns = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_different_words, stratum"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+t AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM (SELECT doc_id, i, words[i:i + 4] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM t))),
+c AS (SELECT doc_id, sum(least(5, coalesce(after - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM g WHERE n > 1) GROUP BY doc_id),
+counted AS (SELECT t.doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+  len(lines) AS n_lines, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_capitals, len(list_distinct(words)) AS n_different_words FROM t LEFT JOIN c USING (doc_id)),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+held AS (SELECT * FROM based JOIN good USING (doc_id) WHERE NOT base_failed),
+v AS ({values}),
+j AS (SELECT stratum, rule, unnest(range(len(cutoffs))) AS j, unnest(cutoffs) AS cutoff, value FROM v),
+k AS (SELECT stratum, rule, j, any_value(cutoff) AS cutoff, count(*) AS holdout, count(*) FILTER (value >= cutoff) AS rejected FROM j GROUP BY stratum, rule, j),
+p AS (SELECT *, CASE WHEN rejected >= holdout * {alpha} THEN 1.0 ELSE list_sum(list_transform(range(0, rejected + 1), lambda i: exp(lgamma(holdout + 1) - lgamma(i + 1) - lgamma(holdout - i + 1) + i * ln({alpha}) + (holdout - i) * ln(1 - {alpha})))) END AS p_value FROM k),
+f AS (SELECT *, max(CAST(p_value > {level} / {len(rules)} / (SELECT greatest(count(DISTINCT stratum), 1) FROM k) AS INT)) OVER (PARTITION BY stratum, rule ORDER BY j) AS failed FROM p),
+cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM f WHERE failed = 0 GROUP BY stratum, rule),
+judged AS (SELECT {columns}, any_value(base_failed) AS base_failed, {failed} AS rejected FROM based LEFT JOIN cut USING (stratum) GROUP BY {columns})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM judged
+"""

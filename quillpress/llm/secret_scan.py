@@ -190,3 +190,47 @@ def masked(docs: DataFrame, rate: float = 0.1, id_col: str = "doc_id", text_col:
     clean = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text) - a["at"])))
     out = out.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text_col)))
     return out.select(*docs.columns)
+
+
+def sql(rate: float = 0.1) -> str:
+    """The registered query over documents as SQL for DuckDB."""
+    quoted = lambda x: x.replace("'", "''")
+
+    def found(pattern: str, group: int = 0) -> str:
+        return f"""SELECT doc_id, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - size AS s, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS e, inside, found
+  FROM (SELECT doc_id, unnest(range(len(m))) AS k, length(unnest(gaps[1:len(m)])) AS gap, unnest(m) AS found, length(unnest(m)) AS size, length(unnest(g)) AS inside
+    FROM (SELECT doc_id, string_split_regex(text, '{quoted(pattern)}') AS gaps, regexp_extract_all(text, '{quoted(pattern)}') AS m, regexp_extract_all(text, '{quoted(pattern)}', {group}) AS g FROM d WHERE regexp_matches(text, '{quoted(pattern)}')))"""
+
+    size = " + ".join(f"CAST(e - s >= {x} AS INT)" for x in LENGTHS[1:])
+    kinds = [KINDS.index(f"random{x}") for x in (16, 32, 64)]
+    count = lambda k: f"count(*) FILTER (kind = {k})"
+    listing = "string_agg(names[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS (
+  SELECT doc_id, s, e, 0 AS kind FROM ({found(ASSIGN, 2)}) WHERE inside >= 12
+  UNION ALL SELECT doc_id, s, e, 1 FROM ({found(ACCESS)}) WHERE inside >= 18
+  UNION ALL SELECT doc_id, s, e, 2 FROM ({found(HEX)})
+),
+runs AS (SELECT doc_id, s, e, found AS value FROM ({found(CANDIDATE)}) WHERE regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Za-z]')),
+free AS (SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s < r.e AND r.s < b.e)),
+named AS (SELECT *, CASE WHEN regexp_full_match(value, '[0-9a-f]+|[0-9A-F]+') THEN {kinds[0]} WHEN regexp_full_match(value, '[A-Z2-7]+') THEN {kinds[1]} ELSE {kinds[2]} END AS kind, {size} AS size, CAST(e - s AS DOUBLE) AS n FROM free),
+coded AS (SELECT *, CASE kind WHEN {kinds[0]} THEN 16.0 WHEN {kinds[1]} THEN 32.0 ELSE 64.0 END AS w, list_transform(string_split(CASE kind WHEN {kinds[0]} THEN lower(value) WHEN {kinds[1]} THEN value ELSE translate(value, '-_', '+/') END, ''),
+  lambda c: instr(CASE kind WHEN {kinds[0]} THEN '{ALPHABETS["random16"]}' WHEN {kinds[1]} THEN '{ALPHABETS["random32"]}' ELSE '{ALPHABETS["random64"]}' END, c) - 1) AS v FROM named),
+counted AS (SELECT *, list_sum(list_transform(range(64), lambda a: pow(len(list_filter(v, lambda x: x = a)), 2))) AS squares, CAST(len(list_filter(v, lambda x: x > (w - 1) / 2)) AS DOUBLE) AS high,
+  1.0 + len(list_filter(range(2, len(v) + 1), lambda i: (v[i] > (w - 1) / 2) <> (v[i - 1] > (w - 1) / 2))) AS runs,
+  list_sum(list_transform(range(2, len(v) + 1), lambda i: (v[i] - (w - 1) / 2) * (v[i - 1] - (w - 1) / 2))) AS lag1 FROM coded),
+spread AS (SELECT *, n - high AS low, 2 * high * (n - high) * (2 * high * (n - high) - n) / (n * n * (n - 1)) AS spread FROM counted),
+scored AS (SELECT *, (w / n * squares - n - (w - 1)) / sqrt(2.0 * (w - 1) * (n - 1) / n) AS chi, CASE WHEN high > 0 AND low > 0 AND spread > 0 THEN (runs - 1 - 2 * high * low / n) / sqrt(spread) ELSE 99.0 END AS run,
+  lag1 / ((w * w - 1) / 12 * sqrt(n - 1)) AS serial FROM spread),
+summed AS (SELECT *, least(chi * chi + run * run + serial * serial, 1000.0) AS q FROM scored),
+tailed AS (SELECT *, 1 / (1 + 0.3275911 * sqrt(q / 2)) AS t FROM summed),
+judged AS (SELECT doc_id, s, e, kind, size, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-sqrt(q / 2) * sqrt(q / 2)) + sqrt(2 * q / pi()) * exp(-q / 2) AS p FROM tailed),
+tally AS (SELECT kind, size, CAST(least(floor(p * {BINS}), {BINS - 1}) AS INT) AS bin, count(*) AS n FROM judged GROUP BY ALL),
+above AS (SELECT kind, size, b, coalesce(sum(n) FILTER (bin >= b), 0) AS n, coalesce(sum(n) FILTER (bin >= {BINS // 2}), 0) AS half FROM tally, (SELECT unnest(range(1, {BINS // 2 + 1})) AS b) GROUP BY kind, size, b),
+limits AS (SELECT kind, size, min(b) / {BINS} AS cutoff FROM above WHERE n > 0 AND n - 2.0 * half * (1 - b / {BINS}) <= {rate} * n GROUP BY kind, size),
+spans AS (SELECT doc_id, s, e, kind FROM base UNION ALL SELECT doc_id, s, e, kind FROM judged JOIN limits USING (kind, size) WHERE p >= cutoff),
+listed AS (SELECT doc_id, {listing} AS spans, {listing} FILTER (kind < 3) AS base, {count(0)} AS n_assign, {count(1)} AS n_access, {count(2)} AS n_hex
+  FROM spans, (SELECT [{", ".join(f"'{k}'" for k in KINDS)}] AS names) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed USING (doc_id)
+"""

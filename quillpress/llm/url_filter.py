@@ -59,9 +59,13 @@ def rule_of(at_host: Column, at_path: Column, rules=RULES) -> tuple[Column, Colu
     return (none, none) if rule is None else (rule.otherwise(none), verdict.otherwise(none))
 
 
+#: A segment's name that is a long hex string, up to its first dot.
+_HEX = r"^[0-9a-f-]*(?:[0-9][a-f-]|[a-f-][0-9])[0-9a-f-]{10,}(\.|$)"
+
+
 def shape(at_path: Column) -> Column:
     """The path with its variable parts marked."""
-    return F.regexp_replace(F.regexp_replace(at_path, r"(?<=/)[0-9a-f-]*(?:[0-9][a-f-]|[a-f-][0-9])[0-9a-f-]{10,}(?=/|$|\.)", "{hex}"), "[0-9]+", "#")
+    return F.array_join(F.transform(F.split(at_path, "/", -1), lambda x: F.regexp_replace(F.regexp_replace(x, _HEX, "{hex}$1"), "[0-9]+", "#")), "/")
 
 
 def grow(shapes: DataFrame, depth: int = 3, z: float = 3.0, rare: int = 2, many: int = 20) -> DataFrame:
@@ -108,3 +112,33 @@ def judge(pages: DataFrame, rules=RULES, label: Column | None = None, id_col: st
     out = rows.join(place, ["host", "shape"], "left")
     own = F.when(F.col("purity") >= threshold, "block").otherwise("allow")
     return out.select("id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", own).alias("verdict"))
+
+
+def sql(rules=RULES, depth: int = 3, a: float = 1.0, b: float = 4.0, weight: float = 0.5, threshold: float = 0.6, z: float = 3.0, rare: int = 2, many: int = 20) -> str:
+    """judge() over pages as SQL for DuckDB, with the rules' verdicts as labels."""
+    longest = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r[1]}{r[2]}'" for r in longest)
+    ruled = " ".join(f"WHEN {fits(r)} THEN '{r[0]}'" for r in longest)
+    steps = ""
+    for d in range(1, depth + 1):
+        steps += f"""
+, b{d} AS (SELECT *, segs[{d + 1}] AS branch, array_to_string(segs[{d + 2}:], '/') AS rest FROM t{d - 1}),
+h{d} AS (SELECT host, template, branch, rest, sum(n) AS c FROM b{d} WHERE branch IS NOT NULL GROUP BY ALL),
+f{d} AS (SELECT h.*, sum(c) OVER (PARTITION BY host, template, rest) AS of_kind, sum(c) OVER (PARTITION BY host, template, branch) AS size, node.* EXCLUDE (host, template)
+  FROM h{d} h JOIN (SELECT host, template, sum(c) AS total, count(DISTINCT branch) AS branches, count(DISTINCT rest) AS kinds FROM h{d} GROUP BY ALL) node USING (host, template)),
+e{d} AS (SELECT *, size * of_kind / total AS expected FROM f{d}),
+s{d} AS (SELECT host, template, branch, sum((c - expected) * (c - expected) / expected) + any_value(size) * (1 - sum(of_kind / total)) AS chi, any_value(size) AS size, any_value(branches) AS branches, any_value(kinds) - 1 AS free FROM e{d} GROUP BY ALL),
+m{d} AS (SELECT host, template, branch, branches > 1 AND (chi <= free + {z} * sqrt(2.0 * free) OR (size <= {rare} AND branches > {many})) AS merged FROM s{d}),
+t{d} AS (SELECT b{d}.* EXCLUDE (template, branch, rest), b{d}.template || CASE WHEN b{d}.branch IS NULL THEN '' WHEN merged THEN '/*' ELSE '/' || b{d}.branch END AS template
+  FROM b{d} LEFT JOIN m{d} ON m{d}.host = b{d}.host AND m{d}.template = b{d}.template AND m{d}.branch = b{d}.branch)"""
+    return f"""
+WITH urls AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)\\A.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '(?s)\\A.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled,
+  array_to_string(list_transform(string_split(path, '/'), lambda x: regexp_replace(regexp_replace(x, '{_HEX}', '{{hex}}\\1'), '[0-9]+', '#', 'g')), '/') AS shape FROM urls),
+t0 AS (SELECT host, shape, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked, string_split(shape, '/') AS segs, '' AS template FROM r GROUP BY host, shape){steps}
+, tree AS (SELECT host, shape, n, labelled, blocked, template || CASE WHEN len(segs) > {depth + 1} THEN '/' || array_to_string(segs[{depth + 2}:], '/') ELSE '' END AS template FROM t{depth}),
+p AS (SELECT host, template, (sum(blocked) + {a}) / (sum(labelled) + {weight} * sum(n - labelled) + {a} + {b}) AS purity FROM tree GROUP BY ALL)
+SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN purity >= {threshold} THEN 'block' ELSE 'allow' END) AS verdict, tree.template, round(purity, 6) AS purity
+FROM r JOIN tree USING (host, shape) JOIN p ON p.host = r.host AND p.template = tree.template
+"""
