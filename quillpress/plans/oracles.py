@@ -98,6 +98,11 @@ ORACLE_SQL: dict[str, str] = {
     "fence_lang_shorten": text_sql(MD_EVENTS, _nested("replace(text, '```json' || chr(10), '{````python ')", _LANGUAGES)),
     "legend_flag": lines_sql(DOCUMENTS, f"SELECT doc_id, coalesce(bool_or(regexp_matches({_T}, '^[-+!] ')), false) AS has_markers FROM md LEFT JOIN l USING (doc_id) GROUP BY doc_id"),
     "dict_expand": f"{_CORPUS} SELECT doc_id, rtrim(text, chr(10)) AS output FROM md",
+    "dict_entries": f"{_CORPUS} SELECT doc_id, key, value FROM md, (VALUES ('@m1', 'AIR'), ('@m10', 'RAIL')) AS t(key, value)",
+    "size_guard": text_sql(MD_ORDERS, "CASE WHEN strlen(replace(text, 'https://', '')) < strlen(text) THEN replace(text, 'https://', '') ELSE text END"),
+    "size_filter": "SELECT doc_id FROM documents WHERE strlen(text) >= 50",
+    "has_fenced_code": text_sql(MD_ORDERS, "contains(text, '```')", "fenced"),
+    "parse_checklists": lines_sql(MD_ORDERS, "SELECT doc_id, pos, contains(line, '[x]') AS checked, line[7:] AS text FROM l WHERE regexp_matches(line, '^- \\[[x ]\\] ')"),
     "strip_markdown": text_sql(MD_ORDERS, TRIM.format(r"regexp_replace(regexp_replace(text, '\*\*(.+?)\*\*', '\1', 'g'), '`([^`]+)`', '\1', 'g')")),
     "fence_parity": lines_sql(MD_ORDERS, "SELECT doc_id, pos, starts_with(line, '```') AS is_fence, NOT starts_with(line, '```') AND sum(CAST(starts_with(line, '```') AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AS in_code FROM l"),
     "normalize_headings": lines_sql(MD_ORDERS, f"{AGAIN} n GROUP BY doc_id", r""",

@@ -16,6 +16,7 @@ from ..operators import code, dedup, dictionary, grammar, lines, lists, restruct
 from ..operators.minify import minify, minify_output, text_udf
 from ..operators.recall import evaluate, summary
 from ..operators.spread import spread
+from ..sources.corpus import long_enough
 from . import suites
 from .views import md_conversations, md_events, md_geo, md_orders, table
 
@@ -155,10 +156,15 @@ def _turns():
     return Window.partitionBy("conv_id").orderBy("turn", "role", "text")
 
 
-def dict_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with a header and references made here, expanded."""
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with a header and references made here."""
     made = F.concat(F.lit("@dict:\n  @m1: AIR\n  @m10: RAIL\n"), F.replace(F.replace("text", F.lit("RAIL"), F.lit("@m10")), F.lit("AIR"), F.lit("@m1")))
-    return corpus(spark, sf_dir).select("doc_id", T.dict_expand(made).alias("output"))
+    return corpus(spark, sf_dir).select("doc_id", made.alias("text"))
+
+
+def dict_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded texts, expanded."""
+    return coded(spark, sf_dir).select("doc_id", T.dict_expand(F.col("text")).alias("output"))
 
 
 def structure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,12 +201,20 @@ QUERIES: dict[str, Query] = {
     "fence_lang_shorten": per_text(md_events, lambda x: T.shorten_languages(F.replace(x, F.lit("```json\n"), F.lit("{````python ")))),
     "legend_flag": per_text(documents, T.has_markers, "has_markers"),
     "dict_expand": dict_expand,
+    "dict_entries": lambda spark, sf_dir: coded(spark, sf_dir).select("doc_id", F.explode(T.dict_entries(F.col("text"))).alias("key", "value")),
+    "size_guard": per_text(md_orders, lambda x: T.shorter(T.strip_schemes(x), x)),
+    "size_filter": lambda spark, sf_dir: long_enough(documents(spark, sf_dir)).select("doc_id"),
+    "has_fenced_code": per_text(md_orders, E.has_fenced_code, "fenced"),
     "strip_markdown": per_text(md_orders, lambda x: E.strip_markdown(x)),
     # lines as rows
     "fence_parity": per_line(md_orders, lambda x: lines.with_fences(x).select("doc_id", F.col("pos").cast("long").alias("pos"), "is_fence", "in_code")),
     "normalize_headings": per_line(md_orders, lambda x: lines.assemble(lines.normalize_headings(x))),
     "compress_tables": per_line(md_orders, lambda x: lines.assemble(lines.compress_tables(x))),
     "compress_list_items": per_line(md_orders, lambda x: lines.assemble(lines.merge_items(x))),
+    "parse_checklists": per_line(
+        lambda spark, sf_dir: md_orders(spark, sf_dir).withColumn("text", F.replace(F.replace("text", F.lit("- [x] "), F.lit("+ ")), F.lit("- [ ] "), F.lit("  ! "))),
+        lambda x: x.select("doc_id", F.col("pos").cast("long").alias("pos"), T.checklist(F.col("line")).alias("c")).where("c is not null").select("doc_id", "pos", "c.checked", "c.text"),
+    ),
     "parse_headings": per_line(md_orders, lambda x: x.select("doc_id", F.col("pos").cast("long").alias("pos"), T.heading_title(F.col("line")).alias("title")).where("title is not null")),
     "level4_groups": per_line(md_orders, lambda x: lines.assemble(lines.group_sections(x))),
     "section_numbers": per_line(md_conversations, lambda x: lines.with_sections(x).select("doc_id", F.col("pos").cast("long").alias("pos"), "section")),
