@@ -65,10 +65,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def binary_column(batch, name: str):
-    """A string or binary column of an Arrow batch as bytes objects; null stays None."""
+    """The values of a string or binary column of an Arrow batch as bytes, one at a time; null stays None."""
     import pyarrow as pa
 
     col = batch.column(batch.schema.get_field_index(name))
     if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
         col = col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary())
-    return col.to_pylist()
+    return (x.as_py() for x in col)

@@ -230,7 +230,7 @@ class Scorer:
             try:
                 value = [known[w] for w in words]
             except KeyError:
-                if len(known) > 1_000_000:  # a cache only: what is dropped is computed again
+                if len(known) > 300_000:  # a cache only: what is dropped is computed again
                     known.clear()
                 self._learn(set(words).difference(known))
                 value = [known[w] for w in words]
