@@ -78,12 +78,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # ---- the covering code ---------------------------------------------------------------------
 
 
-def _syndromes() -> np.ndarray:
-    """The 11-bit remainder of every 23-bit word by the generator polynomial."""
-    out = np.arange(1 << 23, dtype=np.int64)
-    for bit in range(22, 10, -1):
-        out = np.where(out >> bit & 1, out ^ (GOLAY << (bit - 11)), out)
-    return out.astype(np.int16)
+def _syndromes() -> list[np.ndarray]:
+    """The 11-bit remainder by the generator polynomial of every byte of a 23-bit word; a word's is their sum."""
+    tables = []
+    for shift in (0, 8, 16):
+        out = np.arange(256, dtype=np.int64) << shift
+        for bit in range(23, 10, -1):
+            out ^= (out >> bit & 1) * (GOLAY << (bit - 11))
+        tables.append(out)
+    return tables
 
 
 class Anchors:
@@ -98,16 +101,20 @@ class Anchors:
                 words.append(sum(1 << b for b in bits))
                 weights.append(weight)
         masks, weights = np.array(words, np.int64), np.array(weights)
-        self.syndrome = _syndromes()
-        of = self.syndrome[masks]
+        self.tables = _syndromes()
+        of = self.syndrome(masks)
         order = np.argsort(of, kind="stable")  # by remainder, then by weight
         self.mask, self.excess = masks[order], np.maximum(weights[order] - RADIUS, 0)
         self.first = np.searchsorted(of[order], np.arange(2049))
         self.threshold = threshold
 
+    def syndrome(self, word: np.ndarray) -> np.ndarray:
+        low, middle, high = self.tables
+        return low[word & 255] ^ middle[word >> 8 & 255] ^ high[word >> 16]
+
     def near(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For 23-bit words: the row, the codeword's 12 leading bits, the excess over the radius."""
-        s = self.syndrome[word]
+        s = self.syndrome(word)
         count = self.first[s + 1] - self.first[s]
         row = np.repeat(np.arange(len(word)), count)
         at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + self.first[s][row]
@@ -134,8 +141,8 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         anchors = anchors or Anchors()
         fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for at in range(0, len(fp), 4096):
-            part = fp[at : at + 4096]
+        for at in range(0, len(fp), 1024):
+            part = fp[at : at + 1024]
             row, anchor, home = anchors.cover(part)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(part[row].view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
 
