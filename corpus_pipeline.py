@@ -13,7 +13,7 @@ from quillpress.llm.shared import materialize, table
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
-    ("simhash_near_dedup", stages.drop_near_duplicates),
+    ("simhash_near_dedup", stages.drop_near_copies),
     ("secret_scan", stages.mask_secrets),
     ("mixing", stages.sample_mixture),
     ("packing", stages.pack_sequences),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, secret_scan, toxicity
+from .near_copies import near_copy_components
 from .packing import pack
 from .shared import table
 from .simhash import near_duplicate_components
@@ -34,6 +35,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As drop_near_duplicates, but groups also join texts whose five-word shingles have a Jaccard similarity of at least 0.8."""
+    docs = docs.select(*COLUMNS)
+    named = docs.where("doc_id is not null")
+    found = near_copy_components(named, near_duplicate_components(named))
+    first = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
+    return named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark and n_chars counted anew."""
     clean = secret_scan.masked(docs.select(*COLUMNS))
