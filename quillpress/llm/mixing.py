@@ -7,6 +7,12 @@ differ least from the data.  A cell's documents are then sampled with one probab
 share of the token budget over its tokens, at most 1; a document's draw is a hash of its id, so
 a sample is the same at every run and grows with the budget.
 
+The registered query and its SQL rake first and clip probabilities at 1 afterwards, so where cells
+have fewer tokens than their weight asks for, its sample misses targets and budget, and its weight
+column shows the weight before clipping.  With bounded=True, as in the pipeline, no weight passes
+the cell's tokens: what a full cell cannot take goes to the others of its category, and what a
+category has no tokens for goes to the others of its dimension.  marginals() shows what is reached.
+
 A value without a target, or null, belongs to one rest category; so the cells are at most
 (sources + 1) x (languages + 1) x (topics + 1) and their table is small enough to broadcast at
 any size of the corpus.  The rest's target is its share in the data.
@@ -54,8 +60,19 @@ def _category(value: Column, targets: dict[str, float]) -> Column:
     return F.when(value.isin(*targets), value).otherwise(REST) if targets else F.lit(REST)
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS) -> DataFrame:
-    """cells (one column per dimension, tokens) with weight: shares that sum to 1 and meet the targets."""
+def _factor(now: DataFrame, by: list, value: str, cap: str, aim: Column) -> Column:
+    """The factor f by which sum(least(cap, f * value)) over by is aim: the largest root of its linear pieces."""
+    ordered = Window.partitionBy(*by).orderBy(F.when(F.col(value) > 0, F.col(cap) / F.col(value)).asc_nulls_last(), *(F.col(c) for c in now.columns if c.startswith("__")))
+    full = F.coalesce(F.sum(cap).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.sum(value).over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return F.greatest(F.lit(0.0), F.when(left > 0, (aim - full) / left))
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
+    """cells (one column per dimension, tokens) with weight: shares that sum to 1 and meet the targets.
+
+    With a budget (a share of all tokens) no cell's weight is above its tokens' share of the budget.
+    """
     for dim, wanted in targets.items():
         if wanted and (min(wanted.values()) < 0 or not sum(wanted.values())):
             raise ValueError(f"targets of {dim} must not be negative, nor all 0")
@@ -68,6 +85,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = R
         # each category once: its aim over its count of cells
         once = F.sum(F.col(f"{dim}_aim") / F.col("n")).over(everything)
         now = now.withColumn("n", F.count("*").over(Window.partitionBy(dim))).withColumn(f"{dim}_aim", F.when(once > 0, F.col(f"{dim}_aim") / once).otherwise(share)).drop("n")
+    if budget is not None:
+        return _rake_bounded(now, list(targets), rounds, budget)
     for i in range(rounds):
         for dim in targets:
             share = F.sum("weight").over(Window.partitionBy(dim))
@@ -77,7 +96,24 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = R
     return now.drop(*(f"{dim}_aim" for dim in targets))
 
 
-def mix(docs: DataFrame, sources: dict[str, float] = SOURCES, langs: dict[str, float] = LANGS, topics: dict[str, float] = TOPICS, budget: float = BUDGET, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
+def _rake_bounded(now: DataFrame, dims: list[str], rounds: int, budget: float) -> DataFrame:
+    """Weights least(cap, raw), where raking scales raw so that these meet the aims."""
+    now = now.withColumn("cap", F.col("weight") / F.lit(float(budget)))
+    for dim in dims:  # an aim above the category's tokens goes to the others of its dimension
+        room = now.groupBy(dim).agg(F.first(f"{dim}_aim").alias("aim"), F.sum("cap").alias("room"))
+        room = room.withColumn("f", _factor(room, [F.lit(1)], "aim", "room", F.lit(1.0))).withColumn("f", F.max("f").over(Window.partitionBy(F.lit(1))))
+        now = now.drop(f"{dim}_aim").join(room.select(dim, F.least("room", F.col("aim") * F.coalesce("f", F.lit(1.0))).alias(f"{dim}_aim")), dim)
+    now = materialize(now, "mixing-cells")
+    for i in range(rounds):
+        for dim in dims:
+            now = now.withColumn("f", _factor(now, [dim], "weight", "cap", F.col(f"{dim}_aim")))
+            now = now.withColumn("weight", F.col("weight") * F.coalesce(F.max("f").over(Window.partitionBy(dim)), F.lit(0.0)))
+        if i % 2 == 1:
+            now = materialize(now, "mixing-cells")
+    return now.withColumn("weight", F.least("weight", "cap")).drop("cap", "f", *(f"{dim}_aim" for dim in dims))
+
+
+def mix(docs: DataFrame, sources: dict[str, float] = SOURCES, langs: dict[str, float] = LANGS, topics: dict[str, float] = TOPICS, budget: float = BUDGET, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = SEED, rounds: int = ROUNDS, bounded: bool = False) -> DataFrame:
     """All rows and columns of docs with __source, __lang, __topic, __tokens, __weight (of the cell), __probability and __sampled."""
     named = docs.withColumns(
         {
@@ -88,7 +124,7 @@ def mix(docs: DataFrame, sources: dict[str, float] = SOURCES, langs: dict[str, f
         }
     )
     cells = materialize(named.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens")), "mixing-cells")
-    raked = rake(cells, {"__source": sources, "__lang": langs, "__topic": topics}, rounds)
+    raked = rake(cells, {"__source": sources, "__lang": langs, "__topic": topics}, rounds, budget if bounded else None)
     total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
     odds = raked.withColumn("__probability", F.least(F.lit(1.0), F.lit(budget) * total * F.col("weight") / F.col("tokens"))).select("__source", "__lang", "__topic", F.col("weight").alias("__weight"), "__probability")
     out = named.join(F.broadcast(odds), ["__source", "__lang", "__topic"], "left")
@@ -96,6 +132,19 @@ def mix(docs: DataFrame, sources: dict[str, float] = SOURCES, langs: dict[str, f
     return out.withColumn("__sampled", draw(id_col, seed) < F.col("__probability"))
 
 
+def marginals(mixed: DataFrame, sources: dict[str, float] = SOURCES, langs: dict[str, float] = LANGS, topics: dict[str, float] = TOPICS) -> DataFrame:
+    """dimension, category, target (null for the rest) and expected and sampled share of the tokens of a mix()."""
+    out = None
+    cells = mixed.groupBy("__source", "__lang", "__topic").agg(F.sum(F.col("__tokens") * F.col("__probability")).alias("e"), F.sum(F.when(F.col("__sampled"), F.col("__tokens")).otherwise(0)).alias("s"))
+    for dim, wanted in (("source", sources), ("lang", langs), ("topic", topics)):
+        target = F.element_at(F.create_map(*(F.lit(x) for kv in wanted.items() for x in kv)), F.col("category")) if wanted else F.lit(None).cast("double")
+        sums = cells.groupBy(F.col(f"__{dim}").alias("category")).agg(F.sum("e").alias("e"), F.sum("s").alias("s"))
+        every = Window.partitionBy(F.lit(1))
+        one = sums.select(F.lit(dim).alias("dimension"), "category", target.alias("target"), (F.col("e") / F.sum("e").over(every)).alias("expected"), (F.col("s") / F.sum("s").over(every)).alias("sampled"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 ORACLE = f"""
 WITH RECURSIVE named AS (
   SELECT doc_id,

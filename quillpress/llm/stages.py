@@ -51,8 +51,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the calibrated probabilities of their source, language and topic draw."""
-    return mixing.mix(docs.select(*COLUMNS)).where("__sampled").select(*COLUMNS)
+    """The documents that the calibrated probabilities of their source, language and topic draw; full cells' excess goes to others."""
+    return mixing.mix(docs.select(*COLUMNS), bounded=True).where("__sampled").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
