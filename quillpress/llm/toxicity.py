@@ -17,6 +17,9 @@ hash of the id, and at most `max_windows` windows of each, spread evenly over it
 use every word of every text.  Averaging is linear, so for scoring a word is one number, looked
 up or computed once in a task, and a document costs a running sum over its words.
 
+A word over 40 bytes (a clause of a script without spaces, or a run of letters) is cut into
+overlapping pieces that each count as a word, so all of it is read.
+
 Defined results: a null text counts as empty, and an empty text has the score of a window
 without words; a label that is null takes no part in the fit, and if an id has several labels
 the highest counts; without any label of one of the classes every score is the share of toxic
@@ -57,9 +60,28 @@ class Settings:
     threshold: float = 0.7
 
 
+#: A longer word is read as pieces of PIECE bytes, each STEP bytes after the one before, the last one at its end.
+LONG, PIECE, STEP = 40, 20, 10
+
+
+def pieces_of(data: bytes) -> list[bytes]:
+    """The words of a text, long ones in pieces."""
+    words = words_of(data)
+    if not words or max(map(len, words)) <= LONG:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= LONG:
+            out.append(w)
+        else:
+            out += [w[a : a + PIECE] for a in range(0, len(w) - PIECE, STEP)]
+            out.append(w[-PIECE:])
+    return out
+
+
 def subwords(word: bytes, s: Settings) -> list[int]:
-    """Rows of the embedding table: the word's and its n-grams'; words over 40 bytes by n-grams of their ends."""
-    marked = b"<" + (word if len(word) <= 40 else word[:20] + word[-20:]) + b">"
+    """Rows of the embedding table: the word's and its n-grams'."""
+    marked = b"<" + word + b">"
     crc, mask = zlib.crc32, s.buckets - 1
     found = [crc(marked) & mask]
     for n in range(s.shortest, s.longest + 1):
@@ -155,7 +177,7 @@ class Model:
 
 def train(texts: list[bytes], labels: list[int], s: Settings) -> Scorer:
     """Fit on labelled texts."""
-    return train_windows((windows_of(words_of(x), s) for x in texts), labels, s)
+    return train_windows((windows_of(pieces_of(x), s) for x in texts), labels, s)
 
 
 def train_windows(docs: Iterable[list[list[bytes]]], labels: list[int], s: Settings) -> Scorer:
@@ -223,7 +245,7 @@ class Scorer:
         self.known.update(zip(new, value.tolist(), strict=True))
 
     def score(self, data: bytes) -> float:
-        words = words_of(data)
+        words = pieces_of(data)
         worst = 0.0
         if words:
             known = self.known
@@ -258,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # the sample is of windows, so the driver's share of a long text is bounded
-            parts = [b"\n".join(b" ".join(w) for w in windows_of(words_of(x), s)) for x in binary_column(batch, "text")]
+            parts = [b"\n".join(b" ".join(w) for w in windows_of(pieces_of(x), s)) for x in binary_column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], names=["id", "label", "windows"])
 
     rows = text.join(F.broadcast(pick), "id").select("id", "label", "text").mapInArrow(cut, "id long, label int, windows binary")
