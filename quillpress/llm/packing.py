@@ -15,7 +15,8 @@
 
 Defined results: a null text counts as empty, and an empty text is its end id alone; rows that
 repeat an id are packed as rows of their own; extra columns are ignored; an empty table gives an
-empty result.  Long texts are tokenised whole and cut into pieces.
+empty result.  Long texts, runs of white space of any length included, are tokenised whole and cut
+into pieces.
 """
 
 from __future__ import annotations
@@ -121,7 +122,11 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[l
 
 
 class Encoder:
-    """Ids of a byte-level BPE file; the ranks of the same vocabulary give the same ids sooner."""
+    """Ids of a byte-level BPE file; the ranks of the same vocabulary give the same ids sooner.
+
+    A text that the quick way refuses (its patterns' stack ends at some 10^6 white-space characters
+    in a row) or that holds the special token goes through the file's own tokenizer.
+    """
 
     def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
@@ -138,9 +143,12 @@ class Encoder:
             self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.quick is None or SPECIAL in text:
-            return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.frombuffer(memoryview(self.quick.encode_to_numpy(text)), np.uint32)
+        if self.quick is not None and SPECIAL not in text:
+            try:
+                return np.frombuffer(memoryview(self.quick.encode_to_numpy(text)), np.uint32)
+            except ValueError:
+                pass
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def public_encoder() -> Encoder:

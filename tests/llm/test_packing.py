@@ -59,6 +59,13 @@ def test_ids_equal_the_tokenizers(text):
     assert encode(text).tolist() + [1] == plain(text)
 
 
+def test_long_runs_of_white_space(docs):
+    """Texts on which the quick way's patterns run out of stack."""
+    texts = [" " * 1_100_000, "\n" * 1_100_000, "a" + " \n\t" * 400_000 + "b", "\u3000" * 1_100_000 + "x"]
+    rows = pack(docs([{"text": x} for x in texts])).withColumnRenamed("id", "doc_id").collect()
+    check(rows, dict(enumerate(texts)))
+
+
 def check(pieces, texts):
     """pieces: rows with doc_id; texts: doc_id to text."""
     ids = plain_ids()
