@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import CodeMode, Config, Level
 from ..functions.tokens import estimate_tokens, savings_pct
+from ..workers import ship
 from . import code, dedup, dictionary, grammar, lists, restructure, scan
 from .spread import spread
 
@@ -55,6 +56,7 @@ def minify_text(text: str, config: Config) -> str:
 
 def text_udf(function) -> Column:
     """A text function as a vectorised expression; null stays null."""
+    ship()
 
     @F.pandas_udf("string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
