@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..workers import ship  # noqa: F401  the operators of this folder take it from here
+
 _OWN_DIR: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -18,10 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset: the warehouse, which a cluster shares; only a local master, whose executors
+    are this process, gets a temporary folder of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quillpress-work"
     if "dir" not in _OWN_DIR:
         _OWN_DIR["dir"] = tempfile.mkdtemp(prefix="quillpress-")
     return "file://" + _OWN_DIR["dir"]
@@ -31,7 +38,7 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     """Write df once as Parquet in the shared folder and read it back.
 
     It cuts the lineage, survives a lost executor, and lets a result be read twice
-    without being computed twice.  The files go when the Python process ends.
+    without being computed twice.  The files go with forget() or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -40,28 +47,23 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession | None = None) -> None:
-    """Delete what materialize() wrote; results that still read it must be stored first."""
-    while _WRITTEN:
+def forget(start: int = 0) -> None:
+    """Delete what materialize() wrote, from the table number start on; results that still read it must be stored first."""
+    while len(_WRITTEN) > start:
         session, path = _WRITTEN.pop()
         try:
-            jvm = session._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+            target = session._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(session._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            break
+        except Exception:  # noqa: BLE001  at exit the session may be gone; the other tables get their turn
+            continue
 
 
-atexit.register(forget)
+def written() -> int:
+    """The number of tables that materialize() has written and forget() has not deleted."""
+    return len(_WRITTEN)
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when they run on the driver's host or a shared folder."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if root not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+atexit.register(forget)
 
 
 def binary_column(batch, name: str):

@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams (3 to 5, with marks for its ends) and of itself, each
+A word is the bag of its character n-grams (3 to 6, with marks for its ends) and of itself, each
 hashed to a row of an embedding table; a misspelt word shares most of its n-grams with the word
 it stands for, so it need not have been seen.  A window of words is the average of its distinct
 words' bags, and a linear softmax over that average gives its two class probabilities.  Embeddings and
@@ -13,9 +13,11 @@ learning).  Logistic calibration on the same sample turns the worst window's log
 probability.
 
 Only the fit uses a sample: at most `max_docs` labelled rows of each class, those with the least
-hash of the id, and at most `max_windows` windows of each, spread evenly over its text.  Scores
-use every word of every text.  Averaging is linear, so for scoring a word is one number, looked
-up or computed once in a task, and a document costs a running sum over its words.
+hash of the id, as far as their words make `max_bytes` bytes (a row that does not fit in what is
+left of them is passed over); of a row that is taken every window is read.  Scores use every word
+of every text.  Averaging is linear, so for scoring a word is one number, looked up or computed
+once in a task, and a document costs a running sum over its words, from which a word's later
+places are taken off in the windows that hold an earlier one.
 
 A word over 40 bytes (a clause of a script without spaces, or a run of letters) is cut into
 overlapping pieces that each count as a word, so all of it is read.
@@ -40,18 +42,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .license_scan import words_of
-from .shared import binary_column, ship
+from .shared import binary_column, materialize, ship
 
 
 @dataclass(frozen=True)
 class Settings:
     window: int = 16
     buckets: int = 1 << 17
-    dims: int = 8
+    dims: int = 4
     shortest: int = 3
-    longest: int = 5
+    longest: int = 6
     max_docs: int = 2500
-    max_windows: int = 48
+    max_bytes: int = 1 << 24
     epochs: int = 6
     steps: int = 500
     rate: float = 0.2
@@ -90,11 +92,8 @@ def subwords(word: bytes, s: Settings) -> list[int]:
 
 
 def windows_of(words: list[bytes], s: Settings) -> list[list[bytes]]:
-    """Distinct words of half-overlapping windows, all or as many as the settings allow, spread evenly."""
-    starts = list(range(0, max(1, len(words) - s.window // 2), s.window // 2))
-    if len(starts) > s.max_windows:
-        starts = [starts[i * len(starts) // s.max_windows] for i in range(s.max_windows)]
-    return [list(dict.fromkeys(words[a : a + s.window])) for a in starts]
+    """Distinct words of half-overlapping windows that hold every word."""
+    return [list(dict.fromkeys(words[a : a + s.window])) for a in range(0, max(1, len(words) - s.window // 2), s.window // 2)]
 
 
 class Bag:
@@ -137,29 +136,33 @@ class Model:
         self.table_sums, self.out_sums, self.bias_sums = (np.zeros(x.shape, np.float32) for x in (self.table, self.out, self.bias))
 
     def epoch(self, bag: Bag, chosen: np.ndarray, label: np.ndarray, rate: float) -> None:
-        """One pass over the chosen windows; the gradient goes through the average to every n-gram."""
+        """One pass over the chosen windows."""
         order = self.rng.permutation(len(chosen))
         for at in range(0, len(order), self.batch):
-            mine = chosen[order[at : at + self.batch]]
-            y = label[order[at : at + self.batch]]
-            owner, where = _ranges(bag.first[mine], bag.first[mine + 1])
-            words, inverse = np.unique(bag.words[where], return_inverse=True)
-            holder, rows = _ranges(bag.row_first[words], bag.row_first[words + 1])
-            rows, share = bag.rows[rows], 1.0 / (bag.row_first[words + 1] - bag.row_first[words])
-            # weight of a word in a window, as (window, word) pairs
-            vec = np.stack([np.bincount(holder, self.table[rows, d], len(words)) for d in range(self.s.dims)], 1) * share[:, None]
-            mean = np.stack([np.bincount(owner, vec[inverse, d], len(mine)) for d in range(self.s.dims)], 1) / self.s.window
-            logit = 8.0 * mean @ self.out + self.bias
-            prob = np.exp(logit - logit.max(axis=1, keepdims=True))
-            prob /= prob.sum(axis=1, keepdims=True)
-            error = prob - np.eye(2)[y]
-            back = 8.0 * (error @ self.out.T) / self.s.window  # per window
-            to_word = np.stack([np.bincount(inverse, back[owner, d], len(words)) for d in range(self.s.dims)], 1) * share[:, None]
-            used, at_row = np.unique(rows, return_inverse=True)
-            to_row = np.stack([np.bincount(at_row, to_word[holder, d], len(used)) for d in range(self.s.dims)], 1)
-            for value, sums, at_, grad in ((self.out, self.out_sums, slice(None), 8.0 * mean.T @ error), (self.bias, self.bias_sums, slice(None), error.sum(axis=0)), (self.table, self.table_sums, used, to_row)):
-                sums[at_] += grad**2  # AdaGrad: rows that many words share take shorter steps
-                value[at_] -= rate * grad / (np.sqrt(sums[at_]) + 1e-6)
+            mine = order[at : at + self.batch]
+            _, used, to_row, to_out, to_bias = self.gradients(bag, chosen[mine], label[mine])
+            for value, sums, where, grad in ((self.out, self.out_sums, slice(None), to_out), (self.bias, self.bias_sums, slice(None), to_bias), (self.table, self.table_sums, used, to_row)):
+                sums[where] += grad**2  # AdaGrad: rows that many words share take shorter steps
+                value[where] -= rate * grad / (np.sqrt(sums[where]) + 1e-6)
+
+    def gradients(self, bag: Bag, mine: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Loss of windows, the table's rows that they use, and its gradient by these rows, the softmax and its bias: through the average to every n-gram."""
+        owner, where = _ranges(bag.first[mine], bag.first[mine + 1])
+        words, inverse = np.unique(bag.words[where], return_inverse=True)
+        holder, rows = _ranges(bag.row_first[words], bag.row_first[words + 1])
+        rows, share = bag.rows[rows], 1.0 / (bag.row_first[words + 1] - bag.row_first[words])
+        vec = np.stack([np.bincount(holder, self.table[rows, d], len(words)) for d in range(self.s.dims)], 1) * share[:, None]
+        mean = np.stack([np.bincount(owner, vec[inverse, d], len(mine)) for d in range(self.s.dims)], 1) / self.s.window
+        logit = 8.0 * mean @ self.out + self.bias
+        prob = np.exp(logit - logit.max(axis=1, keepdims=True))
+        prob /= prob.sum(axis=1, keepdims=True)
+        loss = -float(np.log(prob[np.arange(len(y)), y]).sum())
+        error = prob - np.eye(2)[y]
+        back = 8.0 * (error @ self.out.T) / self.s.window  # per window
+        to_word = np.stack([np.bincount(inverse, back[owner, d], len(words)) for d in range(self.s.dims)], 1) * share[:, None]
+        used, at_row = np.unique(rows, return_inverse=True)
+        to_row = np.stack([np.bincount(at_row, to_word[holder, d], len(used)) for d in range(self.s.dims)], 1)
+        return loss, used, to_row, 8.0 * mean.T @ error, error.sum(axis=0)
 
     def direction(self) -> tuple[np.ndarray, float]:
         """(weight of each row of the table in the logit of class 1, the bias)."""
@@ -177,15 +180,15 @@ class Model:
 
 def train(texts: list[bytes], labels: list[int], s: Settings) -> Scorer:
     """Fit on labelled texts."""
-    return train_windows((windows_of(pieces_of(x), s) for x in texts), labels, s)
+    return train_words([pieces_of(x) for x in texts], labels, s)
 
 
-def train_windows(docs: Iterable[list[list[bytes]]], labels: list[int], s: Settings) -> Scorer:
-    """Fit on labelled documents that are cut into windows of words; the windows are read once."""
+def train_words(docs: list[list[bytes]], labels: list[int], s: Settings) -> Scorer:
+    """Fit on the words of labelled documents."""
     y = np.array(labels, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return Scorer(np.zeros(s.buckets, np.float32), 0.0, 0.0, float(np.clip(_logit(y.mean() if len(y) else 0.0), -9, 9)), s)
-    model, bag = Model(s), Bag(docs, s)
+    model, bag = Model(s), Bag((windows_of(x, s) for x in docs), s)
     doc = bag.doc
     toxic = y[doc] == 1
     chosen = np.arange(len(doc))
@@ -199,11 +202,10 @@ def train_windows(docs: Iterable[list[list[bytes]]], labels: list[int], s: Setti
         rank = np.empty(len(doc), np.int64)
         rank[order] = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
         chosen = np.flatnonzero(~toxic | (rank < (3 if i + 1 < passes // 2 else 1)))
-    worst = np.full(bag.docs, -np.inf)
-    np.maximum.at(worst, doc, model.logits(bag))
-    a, b = _calibrate(worst, y)
     weight, bias = model.direction()
-    return Scorer(weight.astype(np.float32), bias, a, b, s)
+    scorer = Scorer(weight.astype(np.float32), bias, 1.0, 0.0, s).start()
+    scorer.a, scorer.b = _calibrate(np.array([scorer.logit(x) for x in docs]), y)
+    return scorer
 
 
 def _logit(p: float) -> float:
@@ -212,13 +214,13 @@ def _logit(p: float) -> float:
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of y on x by Newton steps, the slope kept positive."""
+    """Logistic regression of y on x by Newton steps, the slope kept positive; both classes weigh the same, whatever their counts."""
     mean, spread = x.mean(), x.std() + 1e-9
     z = np.stack([(x - mean) / spread, np.ones(len(x))], 1)
-    w = np.array([1.0, 0.0])
+    w, each = np.array([1.0, 0.0]), len(y) / 2 / np.bincount(y, minlength=2)[y]
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (p - y) + 1e-3 * w)
+        step = np.linalg.solve((z * (each * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (each * (p - y)) + 1e-3 * w)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -233,7 +235,9 @@ class Scorer:
         self.weight, self.bias, self.a, self.b, self.s = weight, bias, a, b, s
 
     def start(self) -> Scorer:
-        self.known: dict[bytes, float] = {}
+        """Forget all words; their numbers and values are learnt again as they come."""
+        self.known: dict[bytes, int] = {}
+        self.value = np.empty(1 << 12)
         return self
 
     def _learn(self, words: set[bytes]) -> None:
@@ -241,28 +245,38 @@ class Scorer:
         rows = [subwords(w, self.s) for w in new]
         size = np.fromiter(map(len, rows), np.int64, len(rows))
         flat = np.fromiter((r for x in rows for r in x), np.int64, int(size.sum()))
-        value = np.add.reduceat(self.weight[flat].astype(np.float64), np.cumsum(size) - size) / size
-        self.known.update(zip(new, value.tolist(), strict=True))
+        at = len(self.known)
+        while at + len(new) > len(self.value):
+            self.value = np.concatenate((self.value, np.empty_like(self.value)))
+        self.value[at : at + len(new)] = np.add.reduceat(self.weight[flat].astype(np.float64), np.cumsum(size) - size) / size
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+
+    def logit(self, words: list[bytes]) -> float:
+        """Of the worst window of consecutive words, in which each distinct word counts once."""
+        if not words:
+            return self.bias
+        known, w = self.known, self.s.window
+        try:
+            at = np.array([known[x] for x in words])
+        except KeyError:
+            if len(known) > 300_000:  # a cache only: what is dropped is computed again
+                known.clear()
+            self._learn(set(words).difference(known))
+            at = np.array([known[x] for x in words])
+        value, last = self.value[at], max(0, len(words) - w)  # the last window's start
+        run = np.concatenate(([0.0], np.cumsum(value)))
+        total = run[min(w, len(words)) :] - run[: last + 1]
+        order = np.argsort(at, kind="stable")
+        again = np.flatnonzero((at[order][1:] == at[order][:-1]) & (np.diff(order) < w))
+        if len(again):  # a word's place and its next one: windows from `first` to `stop` hold both
+            here, later = order[again], order[again + 1]
+            first, stop = np.maximum(0, later - w + 1), np.minimum(here, last)
+            take = np.bincount(first, value[here], last + 2) - np.bincount(stop + 1, value[here], last + 2)
+            total = total - np.cumsum(take)[: last + 1]
+        return float(total.max()) + self.bias
 
     def score(self, data: bytes) -> float:
-        words = pieces_of(data)
-        worst = 0.0
-        if words:
-            known = self.known
-            try:
-                value = [known[w] for w in words]
-            except KeyError:
-                if len(known) > 300_000:  # a cache only: what is dropped is computed again
-                    known.clear()
-                self._learn(set(words).difference(known))
-                value = [known[w] for w in words]
-            value, w = np.array(value), self.s.window
-            order = np.argsort(value, kind="stable")  # a word counts once in a window: drop close repeats
-            again = (np.diff(value[order]) == 0) & (np.diff(order) < w)
-            value[order[1:][again]] = 0.0
-            run = np.concatenate(([0.0], np.cumsum(value)))
-            worst = float((run[w:] - run[:-w]).max()) if len(words) >= w else float(run[-1])
-        return float(1 / (1 + np.exp(-np.clip(self.a * (worst + self.bias) + self.b, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.a * self.logit(pieces_of(data)) + self.b, -30, 30))))
 
 
 def fold(id_col: Column) -> Column:
@@ -279,14 +293,22 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     ship(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # the sample is of windows, so the driver's share of a long text is bounded
-            parts = [b"\n".join(b" ".join(w) for w in windows_of(pieces_of(x), s)) for x in binary_column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], names=["id", "label", "windows"])
-
-    rows = text.join(F.broadcast(pick), "id").select("id", "label", "text").mapInArrow(cut, "id long, label int, windows binary")
-    rows = rows.groupBy("id", "label").agg(F.min("windows").alias("windows")).collect()  # a row for each id, however often it stands
-    rows.sort(key=lambda r: (r["id"], bytes(r["windows"])))
-    return train_windows(([x.split() for x in bytes(r["windows"]).split(b"\n")] for r in rows), [r["label"] for r in rows], s)
+        for batch in batches:
+            for i, x in enumerate(binary_column(batch, "text")):
+                words = b" ".join(pieces_of(x))
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 1) for j in (0, 1)), pa.array([len(words)], pa.int64()), pa.array([words], pa.binary())], names=["id", "label", "size", "words"])
+
+    rows = text.join(F.broadcast(pick), "id").select("id", "label", "text").mapInArrow(cut, "id long, label int, size long, words binary")
+    rows = rows.groupBy("id", "label").agg(F.min(F.struct("words", "size")).alias("x")).select("id", "label", "x.size", "x.words")  # a row for each id, however often it stands
+    rows = materialize(rows, "toxicity-sample")
+    room, taken = {0: s.max_bytes, 1: s.max_bytes}, []
+    for r in rows.select("id", "label", "size", F.xxhash64("id").alias("order")).orderBy("order", "id").collect():  # 2 * max_docs rows
+        if r["size"] <= room[r["label"]]:
+            room[r["label"]] -= r["size"]
+            taken.append(r["id"])
+    found = rows.where(F.col("id").isin(taken)).select("id", "label", "words").collect()  # 2 * max_bytes bytes
+    found.sort(key=lambda r: r["id"])
+    return train_words([bytes(r["words"]).split() for r in found], [r["label"] for r in found], s)
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
