@@ -65,6 +65,20 @@ def _places(text: bytes, phrase: bytes) -> Iterator[int]:
         at = text.find(phrase, at + 1)
 
 
+class WordIndex:
+    """How many spaces stand before places that are asked for in order."""
+
+    def __init__(self, joined: bytes):
+        self.joined, self.at, self.spaces = joined, 0, 0
+
+    def before(self, at: int) -> int:
+        if at < self.at:
+            self.at = self.spaces = 0
+        self.spaces += self.joined.count(b" ", self.at, at)
+        self.at = at
+        return self.spaces
+
+
 class Scanner:
     def __init__(self, base=BASE, fuzzy=FUZZY):
         import regex
@@ -80,39 +94,42 @@ class Scanner:
 
     def exact(self, joined: bytes) -> list[tuple[int, str, int]]:
         """(first word, label, count of words) of all base places."""
-        return sorted((joined.count(b" ", 0, at), label, phrase.count(b" ") - 1) for label, phrase in self.base for at in _places(joined, phrase))
+        found = sorted((at, label, phrase.count(b" ") - 1) for label, phrase in self.base for at in _places(joined, phrase))
+        index = WordIndex(joined)
+        return [(index.before(at), label, n) for at, label, n in found]
 
-    def near(self, joined: bytes) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) in joined of places within the bound, best of those that overlap, by notice."""
+    def near(self, joined: bytes) -> list[tuple[int, int, str, int, int]]:
+        """(start, end, label, edits, notice's length) in joined of places within the bound, best of those that overlap, by notice."""
         found = []
         for notice, text, seeds, pattern, guards in self.fuzzy:
-            slack, windows = notice.edits + 1, []
-            for seed, offset in seeds:
-                windows += [(max(0, at - offset - slack), min(len(joined), at - offset + len(text) + slack)) for at in _places(joined, seed)]
-            end = -1
-            for a, b in sorted(set(windows)):
-                if a < end:
-                    a = max(a, end - 1)
+            slack, shortest = notice.edits + 1, len(text) - notice.edits
+            windows = sorted({(max(0, at - offset - slack), min(len(joined), at - offset + len(text) + slack)) for seed, offset in seeds for at in _places(joined, seed)})
+            end = -1  # of the last place; each one found is behind it
+            for a, b in windows:
+                a = max(a, end - 1)
+                if b - a < shortest:
+                    continue
                 for hit in pattern.finditer(joined, a, b):
                     span = joined[hit.start() - 1 : hit.end() + 1]
                     if all(g in span for g in guards):
-                        found.append((hit.start(), hit.end(), notice.label, sum(hit.fuzzy_counts)))
+                        found.append((hit.start(), hit.end(), notice.label, sum(hit.fuzzy_counts), len(text)))
                         end = hit.end()
         return found
 
     def scan(self, data: bytes) -> dict:
         words = words_of(data)
         joined = b" " + b" ".join(words) + b" "
-        base, near = self.exact(joined), self.near(joined)
-        length = {x.label: len(x.phrase) for x in FUZZY}
-        spans = [{"label": label, "first": at, "last": at + n - 1, "edits": 0, "notice": b" ".join(words[at : at + n]).decode()} for at, label, n in base]
+        spans, base = [], self.exact(joined)
+        for at, label, n in base:
+            spans.append({"label": label, "first": at, "last": at + n - 1, "edits": 0, "notice": b" ".join(words[at : at + n]).decode()})
         exact = {(x["label"], x["first"]) for x in spans}
-        for a, b, label, edits in near:
-            first = joined.count(b" ", 0, a) - 1
+        score, index = 1.0 if spans else 0.0, WordIndex(joined)
+        for a, b, label, edits, length in sorted(self.near(joined)):
+            first = index.before(a) - 1
             if (label, first) not in exact:
                 spans.append({"label": label, "first": first, "last": first + joined.count(b" ", a, b), "edits": edits, "notice": joined[a:b].decode("utf-8", "replace")})
-        score = max((1.0 - x["edits"] / length.get(x["label"], 20) for x in spans), default=0.0)
-        return {"n_words": len(words), "base": [(at, label) for at, label, _ in base], "spans": spans, "score": max(0.0, score)}
+                score = max(score, 1.0 - edits / length)
+        return {"n_words": len(words), "base": [(at, label) for at, label, _ in base], "spans": spans, "score": score}
 
 
 _SPAN = "array<struct<label:string,first:bigint,last:bigint,edits:int,notice:string>>"

@@ -88,3 +88,33 @@ def test_cases(docs):
     got = scan_licenses(docs(rows)).collect()
     assert [(r["n_words"], r["base_first"], r["score"]) for r in got] == [(0, [], 0.0), (0, [], 0.0), (50_004, [50_000], 1.0), (5, [1], 1.0), (0, [], 0.0)]
     assert scan_licenses(docs(rows).where("doc_id < 0")).count() == 0
+
+
+def test_time_follows_the_length_of_dense_texts():
+    import time
+
+    scanner = Scanner()
+    for unit in ("cc by nc ", "apache licence version 2 ", "under the mlt license ", "gnu general "):
+        began = time.process_time()
+        found = scanner.scan((unit * (1_000_000 // len(unit))).encode())
+        assert time.process_time() - began < 8, unit  # some 1 to 2 s here; counting from the start took minutes
+        places = 1_000_000 // len(unit)
+        assert len(found["spans"]) == (places if unit in ("cc by nc ", "apache licence version 2 ") else 0)
+
+
+def test_dense_texts_equal_a_slow_search():
+    scanner = Scanner()
+    for unit in ("cc by nc ", "apache licence version 2 ", "under the mit lisence x ", "gnu general public licence version 3 or 2 "):
+        words = slow_words(unit * 9)
+        found = scanner.scan((unit * 9).encode())
+        assert found["base"] == slow_base(words)
+        assert {x["label"] for x in found["spans"]} == slow_labels(words)
+        for x in found["spans"]:
+            assert " ".join(words[x["first"] : x["last"] + 1]) == x["notice"]
+
+
+def test_own_notices_are_scored_by_their_own_length():
+    from quillpress.llm.license_scan import Notice
+
+    scanner = Scanner((), (Notice("own", "free as in free beer", 2),))
+    assert scanner.scan(b"it is free as in fre beer")["score"] == 1 - 1 / 20
