@@ -64,15 +64,21 @@ def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, fp) per row of docs; fp is the fingerprint's bits as a signed long."""
+    """One row (id, uid, fp) per row of docs; fp is the fingerprint's bits as a signed long, uid a hash of the text."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x or b"") for x in binary_column(batch, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64), pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64), pa.int64())], names=["id", "uid", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "id long, uid long, fp long")
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, uid, text): uid, a hash of the text, tells apart rows that share an id."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("uid"), text.alias("text"))
 
 
 # ---- the covering code ---------------------------------------------------------------------
@@ -255,7 +261,7 @@ def connected(links: DataFrame, label: str = "links") -> DataFrame:
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (signed long) and component_id (smallest id in the group) for every row of docs."""
+    """id, uid (a hash of the text), fp (signed long), root (the group's fingerprint) and component_id (its smallest id) for every row of docs."""
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash-fp")
     nodes = prints.groupBy("fp").agg(F.min("id").alias("low"))
     near = nodes.select("fp").mapInArrow(_spread, "anchor int, fp long, home boolean")
@@ -263,5 +269,5 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     roots = connected(forest, "simhash-links")
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     low = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = placed.select("fp", "root").join(low, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    named = placed.select("fp", "root").join(low, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("id", "uid", "fp", "root", "component_id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import mixing, secret_scan, toxicity
 from .near_copies import near_copy_components
 from .packing import pack
-from .shared import table
+from .shared import materialize, table
 from .simhash import near_duplicate_components
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,22 +26,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, scorer, carry=COLUMNS).where("__predicted = 0").select(*COLUMNS)
 
 
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of each group (found: id, uid, root) with the smallest id, of those that share it the least hash of the text.
+
+    Rows that repeat an id and a text are one row; a row without an id stands for a group only if all others lack one too.
+    """
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("row")).select(F.col("row.id").alias("i"), F.col("row.uid").alias("u"))
+    mine = [F.col("doc_id").cast("long").eqNullSafe(F.col("i")), F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("u")]
+    kept = docs.join(best, mine, "left_semi")
+    again = materialize(found.groupBy("id", "uid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("i"), F.col("uid").alias("u")), "near-repeats")
+    if again.isEmpty():  # no two rows are alike, so none need be sorted out
+        return kept.select(*COLUMNS)
+    once = kept.join(again, mine, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, mine, "left_anti").unionByName(once).select(*COLUMNS)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id; rows that repeat it are one row, rows without an id stay."""
+    """Of each group of near fingerprints the row that first_rows() names."""
     docs = docs.select(*COLUMNS)
-    named = docs.where("doc_id is not null")
-    found = near_duplicate_components(named)
-    first = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    return named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    return first_rows(docs, materialize(near_duplicate_components(docs).select("id", "uid", "root"), "near-groups"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As drop_near_duplicates, but groups also join texts whose five-word shingles have a Jaccard similarity of at least 0.8."""
     docs = docs.select(*COLUMNS)
-    named = docs.where("doc_id is not null")
-    found = near_copy_components(named, near_duplicate_components(named))
-    first = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    return named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    near = materialize(near_duplicate_components(docs).select("id", "uid", "root"), "near-groups")
+    return first_rows(docs, materialize(near_copy_components(docs, near), "near-copies"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from quillpress.llm.near_copies import near_copy_components
+from quillpress.llm import stages
+from quillpress.llm.near_copies import FAR, WIDE, near_copy_components, sketch
 
 
 def slow_set(text):
@@ -44,9 +47,37 @@ def planted(seed=1):
 
 def test_groups_equal_all_pairs(spark, docs):
     texts = planted()
-    got = {r["id"]: r["component_id"] for r in near_copy_components(docs([{"text": x} for x in texts])).collect()}
+    got = near_copy_components(docs([{"text": x} for x in texts])).collect()
+    least = {}
+    for r in sorted(got, key=lambda r: r["id"]):
+        least.setdefault(r["root"], r["id"])
     expected = slow_groups(texts)
-    assert got == dict(enumerate(expected)) and len(set(expected)) < len(texts) - 60
+    assert {r["id"]: least[r["root"]] for r in got} == dict(enumerate(expected)) and len(set(expected)) < len(texts) - 60
+
+
+def test_links_are_within_the_bits_that_are_compared():
+    """Pairs at the threshold differ in fewer bits than FAR, unrelated ones in more."""
+    rnd = np.random.default_rng(4)
+    for n in (WIDE, 50, 200, 1000):
+        far = []
+        for _ in range(200):
+            x = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+            lost = n // 9  # (n - lost) / (n + lost) is 0.8
+            y = np.concatenate((x[lost:], rnd.integers(0, 1 << 63, lost).astype(np.uint64)))
+            z = rnd.integers(0, 1 << 63, n).astype(np.uint64)
+            bits = lambda a, b: sum(((i ^ j) & (1 << 64) - 1).bit_count() for i, j in zip(sketch(a), sketch(b), strict=True))
+            assert bits(x, y) <= FAR
+            far.append(bits(x, z))
+        assert np.mean(np.array(far) > FAR) > 0.99
+
+
+def test_one_id_with_two_texts_and_rows_without_an_id(spark, docs, sf):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (1, "something else that stands alone here"), (2, " ".join(base[:59] + ["x"])), (None, " ".join(base)), (None, "words of a row without id"), (None, "words of a row without id"), (3, "one row"), (3, "one row"), (4, None), (5, "")]
+    for stage in (stages.drop_near_copies, stages.drop_near_duplicates):
+        got = stage(spark, docs([{"doc_id": i, "text": x} for i, x in rows]), sf).collect()
+        own = sorted((r["doc_id"] or 0, r["text"] or "") for r in got)
+        assert own == sorted([(0, "words of a row without id"), (1, " ".join(base)), (1, "something else that stands alone here"), (3, "one row"), (4, "")] + ([] if stage is stages.drop_near_copies else [x for x in [(2, " ".join(base[:59] + ["x"]))] if x in own]))
 
 
 def test_stage_leaves_no_near_copy(spark, sf):
