@@ -53,7 +53,7 @@ class Settings:
     shortest: int = 3
     longest: int = 6
     max_docs: int = 2500
-    max_bytes: int = 1 << 24
+    max_bytes: int = 1 << 23
     epochs: int = 6
     steps: int = 500
     rate: float = 0.2
@@ -91,31 +91,37 @@ def subwords(word: bytes, s: Settings) -> list[int]:
     return found
 
 
-def windows_of(words: list[bytes], s: Settings) -> list[list[bytes]]:
+def windows_of(words: list, s: Settings) -> list[list]:
     """Distinct words of half-overlapping windows that hold every word."""
     return [list(dict.fromkeys(words[a : a + s.window])) for a in range(0, max(1, len(words) - s.window // 2), s.window // 2)]
 
 
 class Bag:
-    """Windows of documents as flat arrays: each window's document and words, each distinct word's rows of the table."""
+    """Documents as flat arrays: their words' numbers, each window's document and words, each distinct word's rows of the table."""
 
-    def __init__(self, docs: Iterable[list[list[bytes]]], s: Settings):
+    def __init__(self, docs: Iterable[list[bytes]], s: Settings):
         index: dict[bytes, int] = {}
+        text, text_first = array("i"), array("q", [0])
         words, first, doc, rows, row_first = array("i"), array("q", [0]), array("i"), array("i"), array("q", [0])
         self.docs = 0
-        for windows in docs:
-            for window in windows:
-                for w in window:
-                    at = index.setdefault(w, len(index))
-                    words.append(at)
-                    if at == len(row_first) - 1:  # a new word
-                        rows.extend(subwords(w, s))
-                        row_first.append(len(rows))
+        for given in docs:
+            mine = []
+            for w in given:
+                at = index.setdefault(w, len(index))
+                mine.append(at)
+                if at == len(row_first) - 1:  # a new word
+                    rows.extend(subwords(w, s))
+                    row_first.append(len(rows))
+            text.extend(mine)
+            text_first.append(len(text))
+            for window in windows_of(mine, s):
+                words.extend(window)
                 first.append(len(words))
                 doc.append(self.docs)
             self.docs += 1
         self.words, self.first, self.doc = np.array(words), np.array(first), np.array(doc, dtype=np.int64)
         self.rows, self.row_first = np.array(rows), np.array(row_first)
+        self.text, self.text_first = np.array(text), np.array(text_first)
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,27 +174,35 @@ class Model:
         """(weight of each row of the table in the logit of class 1, the bias)."""
         return 8.0 * self.table @ (self.out[:, 1] - self.out[:, 0]) / self.s.window, float(self.bias[1] - self.bias[0])
 
-    def logits(self, bag: Bag) -> np.ndarray:
-        weight, bias = self.direction()
+    def of_words(self, bag: Bag) -> np.ndarray:
+        """What each distinct word adds to the logit of a window."""
+        weight, _ = self.direction()
         of_word = np.empty(len(bag.row_first) - 1)
         for at in range(0, len(of_word), 1 << 16):
             edge = bag.row_first[at : at + (1 << 16) + 1]
             of_word[at : at + (1 << 16)] = np.add.reduceat(weight[bag.rows[edge[0] : edge[-1]]].astype(np.float64), edge[:-1] - edge[0]) / np.diff(edge)
-        owner = np.repeat(np.arange(len(bag.doc)), np.diff(bag.first))
-        return np.bincount(owner, of_word[bag.words], len(bag.doc)) + bias
+        return of_word
+
+    def logits(self, bag: Bag) -> np.ndarray:
+        of_word, out = self.of_words(bag), np.empty(len(bag.doc))
+        for at in range(0, len(out), 1 << 16):
+            edge = bag.first[at : at + (1 << 16) + 1]
+            owner = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+            out[at : at + (1 << 16)] = np.bincount(owner, of_word[bag.words[edge[0] : edge[-1]]], len(edge) - 1)
+        return out + self.direction()[1]
 
 
 def train(texts: list[bytes], labels: list[int], s: Settings) -> Scorer:
     """Fit on labelled texts."""
-    return train_words([pieces_of(x) for x in texts], labels, s)
+    return train_words((pieces_of(x) for x in texts), labels, s)
 
 
-def train_words(docs: list[list[bytes]], labels: list[int], s: Settings) -> Scorer:
-    """Fit on the words of labelled documents."""
+def train_words(docs: Iterable[list[bytes]], labels: list[int], s: Settings) -> Scorer:
+    """Fit on the words of labelled documents, which are read once."""
     y = np.array(labels, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return Scorer(np.zeros(s.buckets, np.float32), 0.0, 0.0, float(np.clip(_logit(y.mean() if len(y) else 0.0), -9, 9)), s)
-    model, bag = Model(s), Bag((windows_of(x, s) for x in docs), s)
+    model, bag = Model(s), Bag(docs, s)
     doc = bag.doc
     toxic = y[doc] == 1
     chosen = np.arange(len(doc))
@@ -203,9 +217,27 @@ def train_words(docs: list[list[bytes]], labels: list[int], s: Settings) -> Scor
         rank[order] = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
         chosen = np.flatnonzero(~toxic | (rank < (3 if i + 1 < passes // 2 else 1)))
     weight, bias = model.direction()
-    scorer = Scorer(weight.astype(np.float32), bias, 1.0, 0.0, s).start()
-    scorer.a, scorer.b = _calibrate(np.array([scorer.logit(x) for x in docs]), y)
-    return scorer
+    of_word = model.of_words(bag)
+    worst = [worst_window(x, of_word[x], s.window) + bias for x in np.split(bag.text, bag.text_first[1:-1])]
+    return Scorer(weight.astype(np.float32), bias, *_calibrate(np.array(worst), y), s)
+
+
+def worst_window(at: np.ndarray, value: np.ndarray, w: int) -> float:
+    """The largest sum of the values of w consecutive words (numbers `at`), each distinct word counted once; 0 without words."""
+    n = len(at)
+    if not n:
+        return 0.0
+    last = max(0, n - w)  # the last window's start
+    run = np.concatenate(([0.0], np.cumsum(value)))
+    total = run[min(w, n) :] - run[: last + 1]
+    order = np.argsort(at, kind="stable")
+    again = np.flatnonzero((at[order][1:] == at[order][:-1]) & (np.diff(order) < w))
+    if len(again):  # a word's place and its next one: windows from `first` to `stop` hold both
+        here, later = order[again], order[again + 1]
+        first, stop = np.maximum(0, later - w + 1), np.minimum(here, last)
+        take = np.bincount(first, value[here], last + 2) - np.bincount(stop + 1, value[here], last + 2)
+        total = total - np.cumsum(take)[: last + 1]
+    return float(total.max())
 
 
 def _logit(p: float) -> float:
@@ -253,27 +285,15 @@ class Scorer:
 
     def logit(self, words: list[bytes]) -> float:
         """Of the worst window of consecutive words, in which each distinct word counts once."""
-        if not words:
-            return self.bias
-        known, w = self.known, self.s.window
+        known = self.known
         try:
-            at = np.array([known[x] for x in words])
+            at = np.array([known[x] for x in words], np.int64)
         except KeyError:
             if len(known) > 300_000:  # a cache only: what is dropped is computed again
                 known.clear()
             self._learn(set(words).difference(known))
-            at = np.array([known[x] for x in words])
-        value, last = self.value[at], max(0, len(words) - w)  # the last window's start
-        run = np.concatenate(([0.0], np.cumsum(value)))
-        total = run[min(w, len(words)) :] - run[: last + 1]
-        order = np.argsort(at, kind="stable")
-        again = np.flatnonzero((at[order][1:] == at[order][:-1]) & (np.diff(order) < w))
-        if len(again):  # a word's place and its next one: windows from `first` to `stop` hold both
-            here, later = order[again], order[again + 1]
-            first, stop = np.maximum(0, later - w + 1), np.minimum(here, last)
-            take = np.bincount(first, value[here], last + 2) - np.bincount(stop + 1, value[here], last + 2)
-            total = total - np.cumsum(take)[: last + 1]
-        return float(total.max()) + self.bias
+            at = np.array([known[x] for x in words], np.int64)
+        return worst_window(at, self.value[at], self.s.window) + self.bias
 
     def score(self, data: bytes) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.a * self.logit(pieces_of(data)) + self.b, -30, 30))))
@@ -308,7 +328,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
             taken.append(r["id"])
     found = rows.where(F.col("id").isin(taken)).select("id", "label", "words").collect()  # 2 * max_bytes bytes
     found.sort(key=lambda r: r["id"])
-    return train_words([bytes(r["words"]).split() for r in found], [r["label"] for r in found], s)
+    labels_of = [r["label"] for r in found]
+    found = [bytes(r["words"]) for r in found]
+    return train_words((x.split() for x in found), labels_of, s)
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

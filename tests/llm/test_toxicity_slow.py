@@ -14,7 +14,7 @@ TINY = Settings(buckets=1 << 8, window=6)
 def test_gradient_by_finite_differences():
     rng = np.random.default_rng(5)
     words = [bytes(rng.integers(97, 101, rng.integers(1, 7), dtype=np.uint8)) for _ in range(60)]
-    bag = Bag((windows_of(words[i : i + 20], TINY) for i in (0, 20, 40)), TINY)
+    bag = Bag((words[i : i + 20] for i in (0, 20, 40)), TINY)
     model = Model(TINY)
     model.table, model.out, model.bias = model.table.astype(np.float64), rng.normal(size=(TINY.dims, 2)), rng.normal(size=2)
     mine = np.arange(len(bag.doc))
@@ -68,7 +68,7 @@ def test_every_window_of_a_sampled_text_is_read():
 def test_the_sample_is_bounded_in_bytes(docs, spark, monkeypatch):
     """A row that does not fit in what is left of its class's bytes is passed over, others are read whole."""
     seen = {}
-    monkeypatch.setattr(toxicity, "train_words", lambda words, labels, s: seen.update(words=words, labels=labels))
+    monkeypatch.setattr(toxicity, "train_words", lambda words, labels, s: seen.update(words=list(words), labels=labels))
     texts = ["long " * 500] + [f"text number {i} " * 5 for i in range(20)]
     known = spark.createDataFrame([(i, i % 2) for i in range(21)], "doc_id long, toxic int")
     toxicity.fit(docs([{"text": x} for x in texts]), known, F.col("id") >= 0, s=Settings(max_bytes=400))
