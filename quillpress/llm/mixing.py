@@ -3,23 +3,23 @@
 Tokens are summed over (source, language, topic) cells.  Iterative proportional fitting rakes the
 cells' weights: each round scales them so that the sources' sums meet their targets, then the
 languages', then the topics', and the rounds approach the weights that meet all three and
-differ least from the data.  A cell's documents are then sampled with one probability, the cell's
-share of the token budget over its tokens, at most 1; a document's draw is a hash of its id, so
-a sample is the same at every run and grows with the budget.
+differ least from the data.  No cell can give more than its tokens: where its weight would ask for
+more it is held at them, and scaling solves for the factor by which the others of its category
+make up for it.  A category whose target is above its tokens is taken whole, and the rest of its
+target goes to the others of its dimension.  Rounds end when no sum is off its target by more than
+TOLERANCE, or after ROUNDS; `residual` is the largest error that is left.
 
-The registered query and its SQL rake first and clip probabilities at 1 afterwards, so where cells
-have fewer tokens than their weight asks for, its sample misses targets and budget, and its weight
-column shows the weight before clipping.  With bounded=True, as in the pipeline, no weight passes
-the cell's tokens: what a full cell cannot take goes to the others of its category, and what a
-category has no tokens for goes to the others of its dimension.  marginals() shows what is reached.
+A cell's documents are then sampled with one probability, the cell's share of the token budget
+over its tokens; a document's draw is a hash of its id, so a sample is the same at every run and
+grows with the budget.  marginals() shows what is reached.
 
 A value without a target, or null, belongs to one rest category; so the cells are at most
 (sources + 1) x (languages + 1) x (topics + 1) and their table is small enough to broadcast at
 any size of the corpus.  The rest's target is its share in the data.
 
 Defined results: null texts have no tokens; targets of categories without tokens are dropped
-and the others scaled to 1 (if none is left above 0, the data's shares hold); where the targets contradict each other the last raked, the topics,
-hold; cells without tokens, of empty texts only, are sampled at the budget's share; repeated
+and the others scaled to 1 (if none is left above 0, the data's shares hold); where the targets
+contradict each other the last raked, the topics, hold and the residual is not small; cells without tokens, of empty texts only, are sampled at the budget's share; repeated
 rows share an id and a draw; extra columns stay; an empty table gives an empty result.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 REST = "~"
-ROUNDS = 24
+ROUNDS, TOLERANCE = 200, 1e-9
 #: Targets of the registered query.
 SOURCES = {f"src{i}": 0.05 for i in range(20)}
 LANGS = {"en": 0.45, "de": 0.2, "fr": 0.2, "es": 0.15}
@@ -68,16 +68,19 @@ def _factor(now: DataFrame, by: list, value: str, cap: str, aim: Column) -> Colu
     return F.greatest(F.lit(0.0), F.when(left > 0, (aim - full) / left))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
-    """cells (one column per dimension, tokens) with weight: shares that sum to 1 and meet the targets.
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, budget: float | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells (one column per dimension, tokens) with weight: shares that sum to 1 and meet the targets; and residual.
 
     With a budget (a share of all tokens) no cell's weight is above its tokens' share of the budget.
     """
     for dim, wanted in targets.items():
         if wanted and (min(wanted.values()) < 0 or not sum(wanted.values())):
             raise ValueError(f"targets of {dim} must not be negative, nor all 0")
-    everything = Window.partitionBy(F.lit(1))  # of the few cells
-    now = cells.where("tokens > 0").withColumn("weight", F.col("tokens") / F.sum("tokens").over(everything))
+    if budget is not None and not 0 < budget <= 1:
+        raise ValueError("the budget must lie above 0 and not above 1")
+    keys = list(targets)
+    everything = Window.partitionBy(F.lit(1))  # of the few cells, which are one partition, so that no window shuffles
+    now = cells.where("tokens > 0").coalesce(1).withColumn("weight", F.col("tokens") / F.sum("tokens").over(everything))
     for dim, wanted in targets.items():
         share = F.sum("weight").over(Window.partitionBy(dim))
         aim = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in wanted.items() for x in kv)), F.col(dim)), share) if wanted else share
@@ -85,35 +88,44 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = R
         # each category once: its aim over its count of cells
         once = F.sum(F.col(f"{dim}_aim") / F.col("n")).over(everything)
         now = now.withColumn("n", F.count("*").over(Window.partitionBy(dim))).withColumn(f"{dim}_aim", F.when(once > 0, F.col(f"{dim}_aim") / once).otherwise(share)).drop("n")
-    if budget is not None:
-        return _rake_bounded(now, list(targets), rounds, budget)
-    for i in range(rounds):
-        for dim in targets:
-            share = F.sum("weight").over(Window.partitionBy(dim))
-            now = now.withColumn("weight", F.when(share > 0, F.col("weight") * F.col(f"{dim}_aim") / share).otherwise(0.0))
-        if i % 6 == 5:
-            now = materialize(now, "mixing-cells")
-    return now.drop(*(f"{dim}_aim" for dim in targets))
-
-
-def _rake_bounded(now: DataFrame, dims: list[str], rounds: int, budget: float) -> DataFrame:
-    """Weights least(cap, raw), where raking scales raw so that these meet the aims."""
-    now = now.withColumn("cap", F.col("weight") / F.lit(float(budget)))
-    for dim in dims:  # an aim above the category's tokens goes to the others of its dimension
+    now = now.withColumn("cap", F.lit(float("inf")) if budget is None else F.col("weight") / F.lit(float(budget)))
+    for dim in targets:  # an aim above the category's tokens goes to the others of its dimension
         room = now.groupBy(dim).agg(F.first(f"{dim}_aim").alias("aim"), F.sum("cap").alias("room"))
-        room = room.withColumn("f", _factor(room, [F.lit(1)], "aim", "room", F.lit(1.0))).withColumn("f", F.max("f").over(Window.partitionBy(F.lit(1))))
+        room = room.withColumn("f", _factor(room, [F.lit(1)], "aim", "room", F.lit(1.0), [dim])).withColumn("f", F.max("f").over(everything))
         now = now.drop(f"{dim}_aim").join(room.select(dim, F.least("room", F.col("aim") * F.coalesce("f", F.lit(1.0))).alias(f"{dim}_aim")), dim)
-    now = materialize(now, "mixing-cells")
+    now = materialize(now.withColumn("residual", F.lit(float("inf"))), "mixing-cells")
     for i in range(rounds):
-        for dim in dims:
-            now = now.withColumn("f", _factor(now, [dim], "weight", "cap", F.col(f"{dim}_aim")))
-            now = now.withColumn("weight", F.col("weight") * F.coalesce(F.max("f").over(Window.partitionBy(dim)), F.lit(0.0)))
-        if i % 2 == 1:
+        now = _round(now.coalesce(1) if i % 4 == 0 else now, keys, tolerance)
+        if i % 4 == 3 or i + 1 == rounds:
             now = materialize(now, "mixing-cells")
-    return now.withColumn("weight", F.least("weight", "cap")).drop("cap", "f", *(f"{dim}_aim" for dim in dims))
+            left = now.agg(F.max("residual")).first()[0]
+            if left is None or left <= tolerance:
+                break
+    return now.withColumn("weight", F.least("weight", "cap")).drop("cap", *(f"{dim}_aim" for dim in targets))
 
 
-def mix(docs: DataFrame, sources: dict[str, float] = SOURCES, langs: dict[str, float] = LANGS, topics: dict[str, float] = TOPICS, budget: float = BUDGET, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = SEED, rounds: int = ROUNDS, bounded: bool = False) -> DataFrame:
+def _factor(now: DataFrame, by: list, value: str, cap: str, aim: Column, keys: list[str]) -> Column:
+    """The factor f by which sum(least(cap, f * value)) over by is aim: the largest root of its linear pieces."""
+    ordered = Window.partitionBy(*by).orderBy(F.when(F.col(value) > 0, F.col(cap) / F.col(value)).asc_nulls_last(), *keys)
+    full = F.coalesce(F.sum(cap).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.sum(value).over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return F.when(left > 0, F.greatest(F.lit(0.0), (aim - full) / left))
+
+
+def _round(now: DataFrame, dims: list[str], tolerance: float) -> DataFrame:
+    """One pass over the dimensions, and the largest error after it; weights that are good enough stay."""
+    now = now.withColumn("old", F.col("weight"))
+    for dim in dims:
+        now = now.withColumn("f", _factor(now, [dim], "weight", "cap", F.col(f"{dim}_aim"), dims))
+        now = now.withColumn("weight", F.col("weight") * F.coalesce(F.max("f").over(Window.partitionBy(dim)), F.lit(0.0)))
+    off = [F.abs(F.sum(F.least("weight", "cap")).over(Window.partitionBy(dim)) - F.col(f"{dim}_aim")) for dim in dims]
+    now = now.withColumn("off", F.greatest(*off) if len(off) > 1 else off[0] if off else F.lit(0.0))
+    more = F.col("residual") > tolerance
+    now = now.withColumn("off", F.max("off").over(Window.partitionBy(F.lit(1))))
+    return now.withColumns({"weight": F.when(more, F.col("weight")).otherwise(F.col("old")), "residual": F.when(more, F.col("off")).otherwise(F.col("residual"))}).drop("old", "f", "off")
+
+
+def mix(docs: DataFrame, sources: dict[str, float] = SOURCES, langs: dict[str, float] = LANGS, topics: dict[str, float] = TOPICS, budget: float = BUDGET, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
     """All rows and columns of docs with __source, __lang, __topic, __tokens, __weight (of the cell), __probability and __sampled."""
     named = docs.withColumns(
         {
@@ -124,7 +136,7 @@ def mix(docs: DataFrame, sources: dict[str, float] = SOURCES, langs: dict[str, f
         }
     )
     cells = materialize(named.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens")), "mixing-cells")
-    raked = rake(cells, {"__source": sources, "__lang": langs, "__topic": topics}, rounds, budget if bounded else None)
+    raked = rake(cells, {"__source": sources, "__lang": langs, "__topic": topics}, rounds, budget)
     total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
     odds = raked.withColumn("__probability", F.least(F.lit(1.0), F.lit(budget) * total * F.col("weight") / F.col("tokens"))).select("__source", "__lang", "__topic", F.col("weight").alias("__weight"), "__probability")
     out = named.join(F.broadcast(odds), ["__source", "__lang", "__topic"], "left")
@@ -145,6 +157,23 @@ def marginals(mixed: DataFrame, sources: dict[str, float] = SOURCES, langs: dict
     return out
 
 
+def _raked_sql(dim: str, aim: str, rows: str) -> str:
+    """Rows with weights scaled so that the sums by dim of what cells can give are the aims."""
+    order = f"PARTITION BY {dim} ORDER BY CASE WHEN weight > 0 THEN cap / weight END NULLS LAST, source, lang, topic"
+    ends = f"SELECT *, coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled, sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM ({rows})"
+    factors = f"SELECT *, CASE WHEN free > 0 THEN greatest(0, ({aim} - filled) / free) END AS f FROM ({ends})"
+    return f"SELECT i, source, lang, topic, tokens, weight * coalesce(max(f) OVER (PARTITION BY {dim}), 0) AS weight, cap, sa, la, ta FROM ({factors})"
+
+
+def _room_sql(dim: str, aim: str) -> str:
+    """A table of dim with the aims that its categories' tokens allow."""
+    order = f"ORDER BY CASE WHEN aim > 0 THEN room / aim END NULLS LAST, {dim}"
+    ends = f"SELECT *, coalesce(sum(room) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled, sum(aim) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM (SELECT {dim}, any_value({aim}) AS aim, sum(cap) AS room FROM scaled GROUP BY {dim})"
+    return f"{dim}_room AS (SELECT {dim}, least(room, aim * coalesce(max(CASE WHEN free > 0 THEN greatest(0, (1 - filled) / free) END) OVER (), 1)) AS aim FROM ({ends}))"
+
+
+_ROOM_SQL = ", ".join(_room_sql(*x) for x in (("source", "sa"), ("lang", "la"), ("topic", "ta")))
+_RAKED_SQL = _raked_sql("topic", "ta", _raked_sql("lang", "la", _raked_sql("source", "sa", f"SELECT * FROM rounds WHERE i < {ROUNDS} AND off > {TOLERANCE}")))
 ORACLE = f"""
 WITH RECURSIVE named AS (
   SELECT doc_id,
@@ -159,22 +188,23 @@ WITH RECURSIVE named AS (
 ), start AS (
   SELECT *, tokens / sum(tokens) OVER () AS weight FROM cells
 ), aimed AS (
-  SELECT *,
+  SELECT *, weight / {BUDGET} AS cap,
     CASE {" ".join(f"WHEN source = '{k}' THEN {v}" for k, v in SOURCES.items())} ELSE sum(weight) OVER (PARTITION BY source) END AS sa,
     CASE {" ".join(f"WHEN lang = '{k}' THEN {v}" for k, v in LANGS.items())} ELSE sum(weight) OVER (PARTITION BY lang) END AS la,
     CASE {" ".join(f"WHEN topic = '{k}' THEN {v}" for k, v in TOPICS.items())} ELSE sum(weight) OVER (PARTITION BY topic) END AS ta,
     count(*) OVER (PARTITION BY source) AS sn, count(*) OVER (PARTITION BY lang) AS ln, count(*) OVER (PARTITION BY topic) AS tn
   FROM start
-), ready AS (
-  SELECT source, lang, topic, tokens, weight, sa / sum(sa / sn) OVER () AS sa, la / sum(la / ln) OVER () AS la, ta / sum(ta / tn) OVER () AS ta FROM aimed
+), scaled AS (
+  SELECT source, lang, topic, tokens, weight, cap, sa / sum(sa / sn) OVER () AS sa, la / sum(la / ln) OVER () AS la, ta / sum(ta / tn) OVER () AS ta FROM aimed
+), {_ROOM_SQL}, ready AS (
+  SELECT c.* EXCLUDE (sa, la, ta), source_room.aim AS sa, lang_room.aim AS la, topic_room.aim AS ta FROM scaled c JOIN source_room USING (source) JOIN lang_room USING (lang) JOIN topic_room USING (topic)
 ), rounds AS (
-  SELECT 0 AS i, * FROM ready
+  SELECT 0 AS i, *, CAST('inf' AS DOUBLE) AS off FROM ready
   UNION ALL
-  SELECT i + 1, source, lang, topic, tokens, weight * ta / sum(weight) OVER (PARTITION BY topic) AS weight, sa, la, ta FROM (
-    SELECT i, source, lang, topic, tokens, weight * la / sum(weight) OVER (PARTITION BY lang) AS weight, sa, la, ta FROM (
-      SELECT i, source, lang, topic, tokens, weight * sa / sum(weight) OVER (PARTITION BY source) AS weight, sa, la, ta FROM rounds WHERE i < {ROUNDS}))
+  SELECT i + 1, source, lang, topic, tokens, weight, cap, sa, la, ta, max(greatest(abs(ms - sa), abs(ml - la), abs(mt - ta))) OVER () AS off FROM (
+    SELECT *, sum(least(weight, cap)) OVER (PARTITION BY source) AS ms, sum(least(weight, cap)) OVER (PARTITION BY lang) AS ml, sum(least(weight, cap)) OVER (PARTITION BY topic) AS mt FROM ({_RAKED_SQL}))
 ), odds AS (
-  SELECT source, lang, topic, weight, least(1.0, {BUDGET} * sum(tokens) OVER () * weight / tokens) AS probability FROM rounds WHERE i = {ROUNDS}
+  SELECT source, lang, topic, least(weight, cap) AS weight, least(1.0, {BUDGET} * sum(tokens) OVER () * least(weight, cap) / tokens) AS probability FROM rounds WHERE i = (SELECT max(i) FROM rounds)
 ), placed AS (
   SELECT n.*, coalesce(o.weight, 0) AS weight, coalesce(o.probability, {BUDGET}) AS probability,
     CAST('0x' || substr(md5('{SEED}:' || CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0 AS u

@@ -95,7 +95,7 @@ def test_false_discovery(docs):
     df = docs([{"text": f"x {v} y"} for v in keys + names])
     found = {r["id"]: r["spans"] for r in scan_secrets(df).collect()}
     caught, false = sum(bool(found[i]) for i in range(200)), sum(bool(found[i]) for i in range(200, 800))
-    assert caught > 170 and false <= 0.1 * (caught + false)
+    assert caught >= 180 and false <= 0.1 * (caught + false)
     only_names = docs([{"text": f"x {v} y"} for v in names])
     assert sum(bool(r["spans"]) for r in scan_secrets(only_names).collect()) <= 6
     assert cutoffs(spans_and_candidates(only_names.where("doc_id < 0"))).count() == 0
@@ -115,6 +115,21 @@ def test_masked(docs):
         assert not slow_base(got[i]["text"])
 
 
+def test_time_follows_the_matches_of_dense_texts(docs):
+    import time
+
+    rnd = random.Random(2)
+    took = {}
+    for n in (2_000, 32_000):
+        text = "\n".join(f"{rnd.getrandbits(128):032x} Zk{rnd.getrandbits(120):030x}Q" for _ in range(n))
+        df = docs([{"text": text}])
+        began = time.perf_counter()
+        assert len(scan_secrets(df).first()["spans"]) >= n
+        assert masked(df).first()["text"].count("[secret]") >= n
+        took[n] = time.perf_counter() - began
+    assert took[32_000] < 8 * took[2_000] + 10  # 2 MB; matches x matches would be 256 times
+
+
 def test_no_python(docs):
     plan = scan_secrets(docs([{"text": "x"}]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

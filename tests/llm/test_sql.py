@@ -44,9 +44,14 @@ def test_planted_keys(spark, tmp_path):
     rnd = random.Random(11)
     rows = [f"x {v} y {w}" for v, w in zip(keys, names, strict=False)] + names[200:] + SECRETS
     rows += ["".join(rnd.choice("0123456789ABCDEF") for _ in range(40)) for _ in range(50)] + ["".join(rnd.choice(secret_scan.ALPHABETS["random32"]) for _ in range(52)) for _ in range(50)]
+    rows += ["".join(rnd.choice(secret_scan.ALPHABETS["random64"]) for _ in range(44)) for _ in range(100)]
     write(spark, tmp_path, "documents", list(enumerate(rows)), "doc_id long, text string")
-    got = compare(spark, tmp_path, "op5_secret_scan")
-    assert all(got["spans"].str.contains(f"random{n}").any() for n in (16, 32, 64))
+    got = compare(spark, tmp_path, "op5_secret_scan").sort_values("doc_id")["spans"].tolist()
+    planted = {"random62": got[:200], "random16": got[-200:-150], "random32": got[-150:-100], "random64": got[-100:]}
+    for kind, spans in planted.items():
+        assert sum(bool(x) for x in spans) >= 0.9 * len(spans) and any(kind in x for x in spans), kind
+    false = sum("random" in x for x in got[200:-200]) + sum(x.count("random") > 1 for x in got[:200])
+    assert false <= 0.1 * sum(map(bool, got))
 
 
 def test_certified_cutoffs(spark, tmp_path):
