@@ -67,8 +67,16 @@ def test_urls(spark, tmp_path):
     rnd = random.Random(12)
     more = [f"http://{rnd.choice(['a.net', 'b.org', 'www.example.com', 'example.com'])}/{rnd.choice(['en', 'es', 'fr', 'x1', 'deadbeef01234567890abcdef'])}/{rnd.randint(1, 99)}{rnd.choice(['', '/', '.html', '/p/q/r/s'])}" for _ in range(600)]
     more.append("http://hex.org/deadbeef01234567890abcdef/x")  # one branch, which stays apart
+    # only the tree can tell: rules block /es/ and /fr/ of a host, and its other languages have the same pages
+    planted = [f"http://spam.net/{lang}/{i}/offer{i % 7}.html" for lang in ("es", "fr", "it", "pt") for i in range(30)]
+    more += planted + [f"http://fine.net/{lang}/{i}" for lang in ("it", "pt") for i in range(30)] + [f"http://deep.org/a/{x}/{i}/{j}/tail/{'abcd'[i % 4]}" for x in "pqrs" for i in range(3) for j in "uvwx"]
     write(spark, tmp_path, "pages", list(enumerate([x for x in URLS if x is None or "\x00" not in x] + more)), "page_id long, url string")
     got = compare(spark, tmp_path, "op7_url_filter")
+    own = got[got["rule"].isna()]
+    spam, fine = (own[own["host"] == x] for x in ("spam.net", "fine.net"))
+    assert set(spam["path"].str[:4]) == {"/it/", "/pt/"} and len(spam) == 60 and set(spam["verdict"]) == {"block"} and set(spam["template"]) == {"/*/#/offer#.html"}
+    assert len(fine) == 60 and set(fine["verdict"]) == {"allow"}
+    assert got["template"].str.startswith("/a/*/#/*/tail/*").any()
     assert got["template"].str.contains("*", regex=False).any() and "{hex}" in "".join(got["template"]) and url_filter.sql() == ORACLE_SQL["op7_url_filter"]
 
 
