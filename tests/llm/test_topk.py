@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillpress.llm import queries, topk
 from quillpress.llm.queries import ORACLE_SQL
-from quillpress.llm.topk import approximate, block_top_k, exact_top_k
+from quillpress.llm.topk import Best, approximate, exact_top_k
 
 
 def slow(rows, is_query, k):
@@ -36,23 +36,44 @@ def test_blocks(seed):
     vectors = rng.integers(-100, 100, (n, d)) if seed % 2 else rng.integers(-2, 2, (n, d))
     queries_, ids, rows = rng.integers(-100, 100, (7, d)), rng.integers(0, 50, n), np.arange(n)
     own = np.array([0, 1, 2, -1, -2, -3, -4])
-    q, v, s = block_top_k(vectors, ids, rows, queries_, own, 5)
+    found = Best(queries_, own, 5)
+    for at in range(0, n, 700):  # several batches
+        found.add(vectors[at : at + 700], ids[at : at + 700], rows[at : at + 700])
     for i in range(7):
         best = sorted((-int(vectors[j] @ queries_[i]), int(ids[j]), j) for j in range(n) if rows[j] != own[i])[:5]
-        assert [(-int(a), int(ids[b]), int(b)) for a, b in zip(s[q == i], v[q == i], strict=True)] == best
+        assert [(-int(a), int(b), int(c)) for a, b, c in zip(*found.found[i], strict=True)] == best
+
+
+def test_the_scan_reads_few_exact_vectors_and_beats_plain_products():
+    """768 dimensions: bounds leave few vectors to read, and take no longer than twice a plain float64 product with its partition."""
+    import time
+
+    rng = np.random.default_rng(3)
+    vectors, asked = rng.integers(-256, 256, (8192, 768)), rng.integers(-256, 256, (256, 768))
+    read = []
+    best = Best(asked, np.full(256, -1), 5)
+    keep = Best._keep
+    best._keep = lambda i, score, *x: (read.append(len(score)), keep(best, i, score, *x))
+    began = time.perf_counter()
+    best.add(vectors, np.arange(8192), np.arange(8192))
+    took = time.perf_counter() - began
+    began = time.perf_counter()
+    score = asked.astype(np.float64) @ vectors.T.astype(np.float64)
+    top = np.sort(-np.partition(-score, 5, axis=1)[:, :5], axis=1)[:, ::-1]
+    plain = time.perf_counter() - began
+    assert all((x[0] == top[i]).all() for i, x in enumerate(best.found))
+    assert sum(read) < 0.02 * 256 * 8192 and took < 2 * plain + 1
 
 
 def test_cells_hold_their_vectors():
     vectors = np.random.default_rng(0).integers(-1000, 1000, (500, 6))
     vectors[:, 2] = 7
-    codes, edges = approximate(vectors)
-    columns = np.arange(6)
-    assert (edges[columns, codes] <= vectors + 1e-9).all() and (vectors <= edges[columns, codes + 1] + 1e-9).all()
+    codes, low, step = approximate(vectors)
+    assert (low + step * codes <= vectors + 1e-6).all() and (vectors <= low + step * (codes + 1.0) + 1e-6).all()
 
 
 def test_cases(spark, monkeypatch):
-    monkeypatch.setattr(topk, "VECTORS_A_BLOCK", 7)  # many blocks
-    monkeypatch.setattr(topk, "QUERIES_A_BLOCK", 3)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 150)  # several blocks
     rnd = random.Random(8)
     vec = lambda: [rnd.choice([-0.5, 0.0, 0.25, 0.26]) for _ in range(3)]
     rows = [(i, vec()) for i in range(60)] + [(0, vec()), (0, [0.0, 0.0, 0.0]), (None, vec()), (70, None), (75, [1.0, None, 2.0]), (80, [float("nan"), 0.0, 0.0]), (85, [float("inf"), 0.0, 0.0]), (90, [1.0]), (95, [2.0]), (100, [])]
