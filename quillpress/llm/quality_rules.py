@@ -29,6 +29,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
+#: Up to so many strata the cutoffs are broadcast.
+STRATA = 10_000
 
 
 @dataclass(frozen=True)
@@ -50,9 +52,9 @@ RULES = (
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """id, stratum and the counts that rules are made of, for every row."""
+    """id, stratum ("=" and its name, empty for null) and the counts that rules are made of, for every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("text"))
+    words = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit("")).alias("stratum"), text.alias("text"))
     words = words.withColumn("words", F.filter(F.split("text", SPACE + "+"), lambda w: w != ""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     grams = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*(F.get("words", i + j) for j in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
@@ -133,7 +135,9 @@ def apply_rules(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RU
     """id, the counts, base_failed, failed_rules and kept for every row."""
     counted = materialize(counts(docs, id_col, text_col, stratum_col), "quality-counts")
     cutoffs = certified_cutoffs(counted, labels, rules, risk, level, id_col).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    judged = counted.join(cutoffs, "stratum", "left")
+    cutoffs = materialize(cutoffs, "quality-cutoffs")
+    # a stratum with a cutoff has some 10^3 labels; so many strata that they are no small table have no large share of the rows each
+    judged = counted.join(F.broadcast(cutoffs) if cutoffs.count() <= STRATA else cutoffs, "stratum", "left")
     failed = F.filter(F.array(*(F.when(F.expr(r.value) >= F.element_at("cutoffs", F.lit(r.name)), F.lit(r.name)) for r in rules)), lambda x: x.isNotNull())
     return judged.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("cutoffs")
 
@@ -145,7 +149,7 @@ def sql(rules: tuple[Rule, ...] = RULES, risk: float = 0.02, level: float = 0.05
     failed = " OR ".join(f"coalesce({r.value} >= max(cutoff) FILTER (rule = '{r.name}'), false)" for r in rules)
     columns = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_different_words, stratum"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
 t AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM (SELECT doc_id, i, words[i:i + 4] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM t))),
 c AS (SELECT doc_id, sum(least(5, coalesce(after - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM g WHERE n > 1) GROUP BY doc_id),

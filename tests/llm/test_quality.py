@@ -5,7 +5,7 @@ from math import comb
 import pytest
 from pyspark.sql import functions as F
 
-from quillpress.llm import queries
+from quillpress.llm import quality_rules, queries
 from quillpress.llm.quality_rules import RULES, apply_rules, binomial_tail, certified_cutoffs, counts
 
 CASES = [None, "", "one", " \t\n ", "a b c d e " * 5, "x\nx\n\n \nx\ny", "#*$ | <a> 100%", "é É ü " * 4, "a b c d e f a b c d e", "p q r s t p q r s t p q", "w " * 30_000, "A\x1cB c\x0bd", "the same line\nthe same line\r\nthe same line"]
@@ -97,3 +97,22 @@ def test_cases(docs, spark):
     assert apply_rules(docs(rows).where("doc_id < 0"), known).count() == 0
     plan = apply_rules(docs(rows), known)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_null_stratum_is_its_own_and_both_joins_agree(docs, spark, monkeypatch):
+    rows, labels = labelled(1200)
+    rows = [x | {"lang": (None, "", "=", "en")[i % 4] if i % 3 else None} for i, x in enumerate(rows)]
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    counted = counts(docs(rows))
+    assert {r[0] for r in counted.select("stratum").distinct().collect()} == {"", "=", "==", "=en"}
+    one = sorted(map(str, apply_rules(docs(rows), known).collect()))
+    monkeypatch.setattr(quality_rules, "STRATA", 0)
+    assert one == sorted(map(str, apply_rules(docs(rows), known).collect()))
+
+
+@pytest.mark.parametrize("terms", (1, 2, 5, 50))
+def test_a_tail_of_few_terms_is_bounded_from_above(spark, terms):
+    n, k, p = 4000, 60, 0.02
+    exact = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    got = spark.range(1).select(binomial_tail(F.lit(n), F.lit(k), p, terms)).first()[0]
+    assert exact * (1 - 1e-9) <= got <= 6 * exact and (terms < 50 or got == pytest.approx(exact, rel=1e-3))
