@@ -10,7 +10,9 @@ string of `length` bytes the k-gram with the least hash is its anchor; equal str
 anchors in equal places, so their suffixes belong to one bucket, that of the anchor's hash.
 
 1. Anchors (hash, document, offset) are computed from whole texts, about one in 35 bytes.  Only
-   those whose hash occurs twice go on.
+   those whose hash occurs twice go on.  Hashes that a sample of documents shows to be common are
+   known to, so they are not shuffled by their hash to be counted: their documents only say that
+   they hold one.  The sample decides which way a hash goes, never what is found.
 2. Documents whose text is that of a document of smaller id are answered at once.  For the others
    the context of every anchor that goes on, the bytes of the strings that it is anchor of, goes
    to the anchor's bucket.  Contexts that are equal within a batch are one row before they move.
@@ -19,7 +21,8 @@ anchors in equal places, so their suffixes belong to one bucket, that of the anc
 4. Ranges are merged per document and applied to its text.
 
 An anchor that occurs more than `hot` times gets no bucket of its own: its strings are dealt by
-their own hash instead, so a passage that a third of the corpus shares is spread out.
+their own hash instead, so a passage that a third of the corpus shares is spread out.  A text that
+more than one row in COPIES is a copy of meets its first place by a broadcast of such texts.
 
 Defined results: a null text counts as empty; texts shorter than `length` lose nothing; a null id
 counts as larger than any other; rows that repeat an id and a text are one document and get equal
@@ -44,6 +47,12 @@ from .shared import binary_column, materialize, ship
 LENGTH = 100
 GRAM = 32
 HOT = 100_000
+#: Documents in the sample for common anchors, in how many of them a common one is, and how many are kept at most.
+SAMPLE, COMMON, MOST = 16_384, 8, 100_000
+#: Texts with more copies than one row in so many are hot; there are fewer than so many of them.
+COPIES = 1000
+#: The place in a text of no anchor.
+NO_PLACE = 1 << 60
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 20
 #: Context rows in one group of buckets.
@@ -198,24 +207,54 @@ def bucket_ranges(h: np.ndarray, doc: np.ndarray, uid: np.ndarray, offset: np.nd
     return np.concatenate(rows), np.concatenate(lo), np.concatenate(hi)
 
 
-def _uid(data: bytes) -> int:
-    import xxhash
+def common_anchors(texts: DataFrame, length: int, k: int, hot: int, sample: int, common: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted hashes, whether each seems to occur more than `hot` times, how often all seem to occur) of common anchors."""
+    step = max(1, texts.count() // sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, pieces in chunks(binary_column(batch, "text"), length):
+                h, c = np.unique(anchors(pieces, length, k)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+
+    some = texts.where(F.pmod(F.xxhash64("doc"), F.lit(step)) == 0).select("text").mapInArrow(run, "h long, c long")
+    found = some.groupBy("h").agg(F.sum("c").alias("n")).where(F.col("n") >= common).orderBy(F.desc("n"), "h").limit(MOST).collect()
+    h, n = np.array([r["h"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64) * step
+    order = np.argsort(h)
+    return h[order], n[order] > hot, int(n.sum())
 
-    return int(np.uint64(xxhash.xxh64_intdigest(data, 42)).astype(np.int64))
 
+def _among(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each is among the sorted known ones, its place there)."""
+    if not len(known):
+        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return known[at] == h, at
 
-def remove_earlier_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM, hot: int = HOT, with_text: bool = False) -> DataFrame:
+
+def remove_earlier_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM, hot: int = HOT, with_text: bool = False, sample: int = SAMPLE, common: int = COMMON) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that are left) for every row of docs."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
+    known, often, expected = common_anchors(texts, length, k, hot, sample, common)
+    shared = spark.sparkContext.broadcast((known, often))  # MOST hashes
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, _ = shared.value
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             for rows, offsets, pieces in chunks(binary_column(batch, "text"), length):
                 p, at, _, _, h = anchors(pieces, length, k)
                 rows, offsets = np.array(rows, np.int64), np.array(offsets, np.int64)
+                is_common, _ = _among(h, known)
+                holders = np.unique(doc[rows[p[is_common]]])
+                if len(holders):  # a row each, dealt by the document
+                    mixed = (holders.view(np.uint64) + np.uint64(1)) * np.uint64(_BASE)
+                    none = pa.nulls(len(holders), pa.list_(pa.struct([("doc", pa.int64()), ("at", pa.int64())])))
+                    yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(np.full(len(holders), 2)), pa.array(holders), pa.array(np.full(len(holders), NO_PLACE)), none], names=["h", "c", "doc", "at", "more"])
+                    h, p, at = h[~is_common], p[~is_common], at[~is_common]
                 order = np.argsort(h, kind="stable")
                 h, where, place = h[order], doc[rows[p[order]]], (offsets[p] + at)[order]
                 first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else order
@@ -235,30 +274,39 @@ def remove_earlier_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str
     one = F.array(F.struct("doc", "at"))
     twice = twice.select("n", F.inline(F.when(F.col("more").isNull(), one).otherwise(F.concat(one, "more"))))
     meta = texts.select("id", "doc", F.xxhash64("text").alias("uid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
-    firsts = meta.groupBy("digest").agg(F.min("doc").alias("first"))
-    meta = materialize(meta.join(firsts, "digest").withColumn("copy", F.col("doc") > F.col("first")), "suffix-meta")
+    meta = materialize(meta, "suffix-rows")
+    firsts = materialize(meta.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"), "suffix-copies")
+    rows = meta.count()
+    hot_texts = firsts.where(F.col("n") * COPIES > rows).select("digest", F.col("first").alias("hot_first"))
+    meta = meta.join(F.broadcast(hot_texts), "digest", "left")
+    key = F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(F.col("doc").cast("string"))  # no digest, so it meets nothing
+    meta = meta.withColumn("key", key).join(firsts.where(F.col("n") * COPIES <= rows).select(F.col("digest").alias("key"), "first"), "key", "left")
+    meta = materialize(meta.withColumn("copy", F.col("doc") > F.coalesce("hot_first", "first", "doc")).drop("key", "first", "hot_first"), "suffix-meta")
     spots_of = twice.groupBy("doc").agg(F.collect_set(F.when(F.col("n") > hot, -F.col("at") - 1).otherwise(F.col("at"))).alias("ats"))
     todo = materialize(meta.where(~F.col("copy") & (F.col("n_bytes") >= length)).select("doc", "uid").distinct().join(spots_of, "doc"), "suffix-spots")
-    groups = max(64, math.ceil((todo.agg(F.sum(F.size("ats"))).first()[0] or 0) / ROWS_A_GROUP))
+    groups = max(64, math.ceil(((todo.agg(F.sum(F.size("ats"))).first()[0] or 0) + expected) / ROWS_A_GROUP))
     keyed = texts.select("doc", F.xxhash64("text").alias("uid"), "text")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        known, often = shared.value
         for batch in batches:
             col = {x: batch.column(i) for i, x in enumerate(batch.schema.names)}
             doc, uid = (col[x].to_numpy(zero_copy_only=False) for x in ("doc", "uid"))
             wanted = [np.sort(np.array(x, np.int64)) for x in col["ats"].to_pylist()]
             for rows, offsets, pieces in chunks(binary_column(batch, "text"), length):
                 p, at, a, b, h = anchors(pieces, length, k)
+                is_common, which = _among(h, known)
+                many = is_common & often[which] if len(known) else is_common
                 keep, spread = np.zeros(len(p), bool), np.zeros(len(p), bool)
                 cut = np.searchsorted(p, np.arange(len(pieces) + 1))
                 for i in range(len(pieces)):
                     here = at[cut[i] : cut[i + 1]] + offsets[i]
-                    known = wanted[rows[i]]
                     for flag, value in ((keep, here), (spread, -here - 1)):
-                        where = np.minimum(np.searchsorted(known, value), len(known) - 1)
-                        flag[cut[i] : cut[i + 1]] = known[where] == value
+                        flag[cut[i] : cut[i + 1]] = _among(value, wanted[rows[i]])[0]
+                keep |= is_common & ~many
+                spread |= many
                 row, off = np.array(rows, np.int64)[p], np.array(offsets, np.int64)[p]
                 out: dict[tuple[int, bytes, int], tuple[int, int, int]] = {}  # the earliest place of a context
                 ranges = []

@@ -57,6 +57,17 @@ def test_against_brute_force(docs, seed, hot):
     assert got(remove_earlier_copies(df, hot=hot)) == slow([(i, t.encode()) for i, t in zip(ids, rows, strict=True)])
 
 
+@pytest.mark.parametrize(("sample", "common", "hot"), [(10_000, 2, 100_000), (10_000, 2, 2), (7, 1, 100_000), (1, 1, 0), (10_000, 10**9, 100_000)])
+def test_common_anchors_change_nothing(docs, monkeypatch, sample, common, hot):
+    """Whichever hashes the sample calls common, and with few or many copies that meet by a broadcast."""
+    from quillpress.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "COPIES", 10 if hot else 10**9)
+    rows = texts(9)
+    df = docs([{"doc_id": i, "text": t} for i, t in enumerate(rows)])
+    assert got(remove_earlier_copies(df, hot=hot, sample=sample, common=common)) == slow([(i, t.encode()) for i, t in enumerate(rows)])
+
+
 def test_query(spark, sf):
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     found = queries.op10_suffix_dedup(spark, sf).withColumnRenamed("doc_id", "id")
