@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 REST = "~"
-ROUNDS, TOLERANCE = 200, 1e-9
+ROUNDS, TOLERANCE = 200, 1e-6
 #: Targets of the registered query.
 SOURCES = {f"src{i}": 0.05 for i in range(20)}
 LANGS = {"en": 0.45, "de": 0.2, "fr": 0.2, "es": 0.15}

@@ -7,6 +7,11 @@ first n - ceil(t n) + 1, so only sets that meet in such a prefix are compared, a
 missed.  The order puts shingles last that a sample of texts shows to be common; the sample
 decides how much is compared, never what is found.
 
+At the first shingle that two sets share in the order, what stands before it in either is not
+shared, so their overlap is at most what is left of the shorter rest; pairs for which that cannot be
+enough are dropped at a shingle (the position filter).  Copies with many edits of their own, whose
+new shingles come first, so meet nobody at the shingles of their original.
+
 Equal sets are one node.  A set travels with a 128-bit SimHash fingerprint of its shingles: sets of
 at least WIDE shingles that differ in more than FAR of its bits are not compared.  A link's bits
 differ in some 22 on average and in more than FAR with a probability below 1e-6, unrelated sets
@@ -129,10 +134,11 @@ def _starts(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate((first, [len(token)])))
 
 
-def _alike(n: np.ndarray, f1: np.ndarray, f2: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the pairs left-right of rows are worth a comparison of the whole sets."""
+def _alike(n: np.ndarray, pos: np.ndarray, f1: np.ndarray, f2: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs left-right of rows that meet at a shingle, at places pos of their order, are worth a comparison of the whole sets."""
     low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-    keep = low >= threshold * high - 1e-9
+    rest = np.minimum(n[left] - pos[left], n[right] - pos[right])
+    keep = (low >= threshold * high - 1e-9) & (rest >= threshold / (1 + threshold) * (low + high) - 1e-9)
     bits = lambda f: np.bitwise_count((f[left] ^ f[right]).view(np.uint64)).astype(np.int64)
     far = bits(f1) + bits(f2)
     return keep & ((far <= FAR) | (low < WIDE))
@@ -148,7 +154,7 @@ def _hub(f1: np.ndarray, f2: np.ndarray) -> int:
 def _meet(threshold: float) -> Callable:
     """Pairs to compare as (a, b, -1), and the rows of shingles where many sets meet as (node, token, n), with fingerprints."""
 
-    def step(token, node, n, f1, f2):
+    def step(token, node, n, pos, f1, f2):
         first, size = _starts(token)
         group = np.repeat(np.arange(len(first)), size)
         mine = np.flatnonzero(np.repeat((size > 1) & (size <= FEW), size))
@@ -166,22 +172,22 @@ def _meet(threshold: float) -> Callable:
             rights.append(np.full(len(part), part[_hub(f1[part], f2[part])]))
             lefts.append(part)
         left, right = np.concatenate(lefts), np.concatenate(rights)
-        keep = (node[left] != node[right]) & _alike(n, f1, f2, left, right, threshold)
+        keep = (node[left] != node[right]) & _alike(n, pos, f1, f2, left, right, threshold)
         a, b = node[left[keep]], node[right[keep]]
         none = np.zeros(len(a), np.int64)
-        yield _rows(np.concatenate((np.minimum(a, b), node[many])), np.concatenate((np.maximum(a, b), token[many])), np.concatenate((np.full(len(a), -1, np.int32), n[many])), np.concatenate((none, f1[many])), np.concatenate((none, f2[many])))
+        yield _rows(np.concatenate((np.minimum(a, b), node[many])), np.concatenate((np.maximum(a, b), token[many])), np.concatenate((np.full(len(a), -1, np.int32), n[many])), np.concatenate((none.astype(np.int32), pos[many])), np.concatenate((none, f1[many])), np.concatenate((none, f2[many])))
 
     return lambda batches: _grouped(batches, step)
 
 
 def _rows(a, b, *more) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, *more)], names=["a", "b", "n", "f1", "f2"][: 2 + len(more)])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, *more)], names=["a", "b", "n", "pos", "f1", "f2"][: 2 + len(more)])
 
 
 def _apart(threshold: float) -> Callable:
     """Pairs that meet at a shingle, are alike and have different roots."""
 
-    def step(token, node, n, f1, f2, root):
+    def step(token, node, n, pos, f1, f2, root):
         for lo, size in zip(*_starts(token), strict=True):
             rows = lo + np.argsort(n[lo : lo + size], kind="stable")
             if (root[rows] == root[rows[0]]).all():
@@ -192,7 +198,7 @@ def _apart(threshold: float) -> Callable:
                 other = rows[i + 1 : end[i]]
                 other = other[root[other] != root[rows[i]]]
                 if len(other):
-                    other = other[_alike(n, f1, f2, np.full(len(other), rows[i]), other, threshold)]
+                    other = other[_alike(n, pos, f1, f2, np.full(len(other), rows[i]), other, threshold)]
                     a, b = node[rows[i]], node[other]
                     yield _rows(np.minimum(a, b), np.maximum(a, b))
 
@@ -226,16 +232,16 @@ def near_copy_links(texts: DataFrame, sets: DataFrame, shingle: int = SHINGLE, t
         x, y = (found.select(F.col("node").alias(a), F.col("found").alias(b)) for a, b in (("u", "x"), ("v", "y")))
         return materialize(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(similar, "u long, v long"), "copies-links")
 
-    rows = sets.groupBy("node").agg(*(F.first(x).alias(x) for x in ("n", "f1", "f2", "prefix"))).select(F.explode("prefix").alias("token"), "node", "n", "f1", "f2")
-    met = materialize(rows.repartition("token").sortWithinPartitions("token").mapInArrow(_meet(threshold), "a long, b long, n int, f1 long, f2 long"), "copies-met")
+    rows = sets.groupBy("node").agg(*(F.first(x).alias(x) for x in ("n", "f1", "f2", "prefix"))).select(F.posexplode("prefix").alias("pos", "token"), "node", "n", "f1", "f2").select("token", "node", "n", "pos", "f1", "f2")
+    met = materialize(rows.repartition("token").sortWithinPartitions("token").mapInArrow(_meet(threshold), "a long, b long, n int, pos int, f1 long, f2 long"), "copies-met")
     pairs = materialize(met.where("n < 0").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "copies-pairs")
     links = linked(pairs)
     if known is not None:
         links = links.unionByName(known)
-    many = met.where("n >= 0").select(F.col("b").alias("token"), F.col("a").alias("node"), "n", "f1", "f2")
+    many = met.where("n >= 0").select(F.col("b").alias("token"), F.col("a").alias("node"), "n", "pos", "f1", "f2")
     if many.isEmpty():
         return links
-    labelled = many.join(connected(links, "copies-first"), "node", "left").select("token", "node", "n", "f1", "f2", F.coalesce("root", "node").alias("root"))
+    labelled = many.join(connected(links, "copies-first"), "node", "left").select("token", "node", "n", "pos", "f1", "f2", F.coalesce("root", "node").alias("root"))
     rest = labelled.repartition("token").sortWithinPartitions("token").mapInArrow(_apart(threshold), "a long, b long")
     rest = materialize(rest.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti"), "copies-rest")
     return links if rest.isEmpty() else links.unionByName(linked(rest))
