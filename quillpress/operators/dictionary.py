@@ -24,15 +24,15 @@ def candidates(text: str) -> list[tuple[str, int]]:
     at = range(n + 1) if text.isascii() else [0, *accumulate(size(c) for c in text)]  # byte offsets
     if at[n] < 2 * SEED or n <= SEED:
         return []
-    often = _often(text)
+    frequent = often(text)
     places: dict[str, list[int]] = {}
-    for i in often:
+    for i in frequent:
         places.setdefault(text[i : i + SEED], []).append(i)
     places = {seed: at_ for seed, at_ in places.items() if len(at_) >= REPEATS}
     found: list[tuple[str, int]] = []
     tried: dict[str, int] = {}
     covered = bytearray(n)
-    for i in often:
+    for i in frequent:
         if covered[i] or (same := places.get(text[i : i + SEED])) is None:
             continue
         other = same[0] if same[0] != i else same[1]
@@ -64,17 +64,19 @@ def candidates(text: str) -> list[tuple[str, int]]:
     return kept[:ENTRIES]
 
 
-def _often(text: str) -> list[int]:
-    """Places of seeds that occur often, by a hash of each seed, in order; the last place of the text is left out."""
+def often(text: str, length: int = SEED, least: int = REPEATS) -> list[int]:
+    """Places of substrings that occur often, by a hash of each, in order; the last place of the text is left out."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes) - SEED
+    n = len(codes) - length
+    if n < 1:
+        return []
     hashes = np.zeros(n, np.uint64)
-    for j in range(SEED):
+    for j in range(length):
         hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
     order = np.argsort(hashes)
     ranked = hashes[order]
     edges = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True])))
-    many = np.diff(edges) >= REPEATS
+    many = np.diff(edges) >= least
     if not many.any():
         return []
     return np.sort(order[np.repeat(many, np.diff(edges))]).tolist()

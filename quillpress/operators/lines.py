@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..workers import ship
+from .dictionary import often
+from .spread import spread
 
 HEADING = r"""^[^`\[]"""
 
@@ -106,24 +112,46 @@ def normalize_headings(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def repeated_blocks(rows: DataFrame, id_col: str = "doc_id", least: int = 3, most: int = 15, size: int = 30) -> DataFrame:
-    """(id, n_lines, block, n): blocks of consecutive lines that a document holds twice or more."""
+    """(id, n_lines, block, n, first_pos): blocks of consecutive lines that a document holds twice or more.
+
+    Blocks are told apart by hashes of their lines' hashes; only of those that come twice are the lines joined and compared.
+    """
     ahead = Window.partitionBy(id_col).orderBy("pos").rowsBetween(0, most - 1)
-    runs = rows.select(id_col, "pos", F.collect_list("line").over(ahead).alias("ahead"))
+    line = F.struct(F.xxhash64("line").alias("h"), F.octet_length("line").alias("bytes"), F.col("line").rlike(r"\S").alias("full"))
+    runs = rows.select(id_col, "pos", F.collect_list(line).over(ahead).alias("ahead"))
+    head = lambda name: F.slice(f"ahead.{name}", F.lit(1), F.col("n_lines"))
     cut = runs.select(id_col, "pos", "ahead", F.explode(F.when(F.size("ahead") >= least, F.sequence(F.lit(least), F.size("ahead")))).alias("n_lines"))
-    blocks = cut.select(id_col, "pos", "n_lines", F.array_join(F.slice("ahead", F.lit(1), F.col("n_lines")), "\n").alias("block"))
-    blocks = blocks.where((F.octet_length("block") >= size) & F.col("block").rlike(r"\S"))
-    return blocks.groupBy(id_col, "n_lines", "block").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).where("n > 1")
+    weighty = (F.aggregate(head("bytes"), F.col("n_lines") - 1, lambda a, x: a + x) >= size) & F.exists(head("full"), lambda x: x)
+    cut = cut.where(weighty).select(id_col, "n_lines", F.xxhash64(head("h")).alias("h"), "pos")
+    again = cut.groupBy(id_col, "n_lines", "h").agg(F.collect_list("pos").alias("at")).where(F.size("at") > 1)  # all of one document's
+    again = again.select(id_col, "n_lines", F.explode("at").alias("start"))
+    placed = again.select("*", F.explode(F.sequence("start", F.col("start") + F.col("n_lines") - 1)).alias("pos")).join(rows, [id_col, "pos"])
+    got = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    blocks = placed.groupBy(id_col, "n_lines", "start").agg(got.alias("block"))
+    return blocks.groupBy(id_col, "n_lines", "block").agg(F.count("*").alias("n"), F.min("start").alias("first_pos")).where("n > 1")
 
 
 def seed_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 12, least: int = 4) -> DataFrame:
-    """(id, seed, n): substrings of one length that a document holds often; the last place is not counted."""
-    text = F.col(text_col)
-    places = F.when(F.length(text) > length, F.sequence(F.lit(1), F.length(text) - length))
-    seeds = df.select(id_col, F.explode(F.transform(places, lambda i: F.substring(text, i, F.lit(length)))).alias("seed"))
-    return seeds.groupBy(id_col, "seed").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    """(id, seed, n): substrings of one length that a text holds often; the last place is not counted.  A row's text is counted within the row."""
+    ship()
+
+    def run(batches):
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if text is None or not (places := often(text, length, least)):
+                    continue
+                found = [(x, n) for x, n in Counter(text[p : p + length] for p in places).items() if n >= least]
+                ids = pa.repeat(batch.column(0)[i], len(found))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=[id_col, "seed", "n"])
+
+    rows = spread(df.select(id_col, F.col(text_col).cast("string").alias("text")))
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, seed string, n long")
 
 
 def words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, word): every run of letters and numbers."""
-    found = F.split(F.col(text_col), r"[^\p{IsAlphabetic}\p{N}]+")
-    return df.select(id_col, F.explode(F.filter(found, lambda w: w != "")).alias("word"))
+    return df.select(id_col, F.explode(words_of(F.col(text_col))).alias("word"))
+
+
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != "")

@@ -35,10 +35,8 @@ def strip_schemes(text: str) -> str:
     return text
 
 
-def minify_text(text: str, config: Config) -> str:
-    """One text through all passes of the setting."""
-    if config.level is Level.OFF:
-        return grammar.strip_grammar(text, config.grammar) if config.grammar else text
+def _structured(text: str, config: Config) -> str:
+    """The passes before the grammar's."""
     text = scan.apply_structure(text, config.level, config.code_blocks)
     if config.level >= Level.MEDIUM:
         text = strip_frontmatter(text)
@@ -46,14 +44,47 @@ def minify_text(text: str, config: Config) -> str:
         text = lists.merge_short_items(strip_schemes(text))
         if config.code_blocks is CodeMode.COMPRESS:
             text = code.compress_blocks(text)
+    return text
+
+
+def _stripped(text: str, config: Config) -> str:
+    """The grammar's pass and what follows it, up to the dictionary's."""
     if config.grammar:
         text = grammar.strip_grammar(text, config.grammar)
-    text = dedup.deduplicate(text)
+    return text if config.level is Level.OFF else dedup.deduplicate(text)
+
+
+def _coded(text: str, config: Config) -> str:
+    """The passes from the dictionary's on."""
+    if config.level is Level.OFF:
+        return text
     if config.dictionary:
         text = dictionary.compress(text)
     return restructure.restructure(text, config)
 
 
+def minify_text(text: str, config: Config) -> str:
+    """One text through all passes of the setting."""
+    if config.level is not Level.OFF:
+        text = _structured(text, config)
+    return _coded(_stripped(text, config), config)
+
+
+def minify_many(text: str, configs: list[Config]) -> list[str]:
+    """One text through several settings; passes that settings share run once."""
+    structured: dict[tuple, str] = {}
+    stripped: dict[tuple, str] = {}
+    out = []
+    for c in configs:
+        key = (c.level, c.code_blocks)
+        if key not in structured:
+            structured[key] = text if c.level is Level.OFF else _structured(text, c)
+        if (*key, c.grammar) not in stripped:
+            stripped[(*key, c.grammar)] = _stripped(structured[key], c)
+        out.append(_coded(stripped[(*key, c.grammar)], c))
+    return out
+
+
 def text_udf(function) -> Column:
     """A text function as a vectorised expression; null stays null."""
     ship()

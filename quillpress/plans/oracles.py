@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions.lexicon import FREQUENCY, PROTECTED
+from ..functions.lexicon import APPROVED, FREQUENCY, PROTECTED
 from ..operators.restructure import LEGEND
-from .views import DOCUMENTS, MD_CONVERSATIONS, MD_EVENTS, MD_GEO, MD_ORDERS, PAGES
+from . import expected as X
+from .views import CUSTOMERS, DOCUMENTS, MD_CONVERSATIONS, MD_EVENTS, MD_GEO, MD_ORDERS, PAGES
 
 #: Lines of md as rows (doc_id, pos, line).
 LINES = """
@@ -135,7 +136,7 @@ ORACLE_SQL: dict[str, str] = {
     "dedup_blocks_candidates": lines_sql(DOCUMENTS, "SELECT doc_id, n_lines, strlen(block) AS n_bytes, count(*) AS n, min(pos) AS first_pos FROM b WHERE strlen(block) >= 30 AND regexp_matches(block, '\\S') GROUP BY doc_id, n_lines, block HAVING count(*) > 1", """,
         a AS (SELECT doc_id, pos, list(line) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS ahead FROM l),
         b AS (SELECT doc_id, pos, n_lines, array_to_string(ahead[1:n_lines], chr(10)) AS block FROM (SELECT doc_id, pos, ahead, unnest(range(3, len(ahead) + 1)) AS n_lines FROM a))"""),
-    "dict_seed_counts": f"WITH {MD_ORDERS}, s AS (SELECT doc_id, substr(text, i, 12) AS seed FROM (SELECT doc_id, text, unnest(range(1, length(text) - 11)) AS i FROM md)) SELECT doc_id, seed, count(*) AS n FROM s GROUP BY ALL HAVING count(*) >= 4",
+    "dict_seed_counts": f"WITH {DOCUMENTS}, s AS (SELECT doc_id, substr(text, i, 12) AS seed FROM (SELECT doc_id, text, unnest(range(1, length(text) - 11)) AS i FROM md)) SELECT doc_id, seed, count(*) AS n FROM s GROUP BY ALL HAVING count(*) >= 4",
     "word_scores": rf"""WITH f(word, score) AS (VALUES {_SCORES}), w AS (SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '[^\p{{L}}\p{{N}}]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1)
         SELECT word, n, CAST(score AS DOUBLE) AS score, round(CAST(score AS DOUBLE) + {_SHORT}, 4) AS removal_score FROM w JOIN f USING (word)""",
     "filler_share": rf"""WITH f(fw, score) AS (VALUES {_SCORES}), w AS (SELECT doc_id, unnest(string_split_regex(text, '[^\p{{L}}\p{{N}}''_-]+')) AS word FROM documents),
@@ -182,3 +183,75 @@ ORACLE_SQL: dict[str, str] = {
 ORACLE_SQL["level4"] = f"""WITH g AS ({ORACLE_SQL["level4_groups"]}) SELECT doc_id, '---' || chr(10) || {_nested("text", _LANGUAGES)} AS output FROM g"""
 ORACLE_SQL["apply_structure_l3"] = f"""WITH t AS ({ORACLE_SQL["compress_tables"]})
   SELECT doc_id, replace(replace(replace(replace(replace(text, '**Status:**', 'Status:'), '***' || chr(10), ''), '- [x] ', '+ '), '- [ ] ', '! '), '# Order ' || doc_id || chr(10), 'order ' || doc_id || ':' || chr(10)) AS output FROM t"""
+
+
+def _note(name: str) -> str:
+    """What a setting makes of a customer's note."""
+    note, dotted = X.GRID[name]
+    return f"CASE WHEN doc_id % 10 = 0 THEN {X.sql(dotted)} ELSE {X.sql(note)} END"
+
+
+#: All runs of the notes (doc_id, config, level, output, bytes).
+_RUNS = "runs AS (SELECT *, strlen(output) AS bytes FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS config, {name[1]} AS level, {_note(name)} AS output FROM cust" for name in X.GRID) + "))"
+_WORDS = "SELECT doc_id, unnest(string_split_regex(output, '[^\\p{L}\\p{N}]+')) AS word FROM runs WHERE config = "
+_REMOVED = f"""gone AS (SELECT word, count(*) AS n, lower(word) IN ({", ".join(f"'{w}'" for w in sorted(APPROVED))}) AS approved
+  FROM ({_WORDS} 'L2') w WHERE strlen(word) > 1 AND NOT EXISTS (SELECT 1 FROM ({_WORDS} 'L2_g') g WHERE g.doc_id = w.doc_id AND g.word = w.word) GROUP BY word)"""
+
+
+def templated_sql(template: str) -> str:
+    return f"WITH {CUSTOMERS} SELECT doc_id, {X.sql(template)} AS output FROM cust"
+
+
+def minified_sql(name: str) -> str:
+    sizes = "CAST(strlen(text) // 4 AS BIGINT) AS input_tokens, CAST(strlen(output) // 4 AS BIGINT) AS output_tokens"
+    return f"""WITH {CUSTOMERS}, pairs AS (SELECT doc_id, {_note("L0")} AS text, {_note(name)} AS output FROM cust), sized AS (SELECT doc_id, output, {sizes} FROM pairs)
+        SELECT *, CASE WHEN input_tokens > 0 THEN greatest(input_tokens - output_tokens, 0) / CAST(input_tokens AS DOUBLE) * 100 ELSE 0.0 END AS savings_pct FROM sized"""
+
+
+#: Of a whole note: how many items each check looks for; all are found unless the output is lost.
+_ITEMS = {"headings": 4, "code_content": 3, "tables": 9, "links": 1, "lists": 5, "inline_code": 2, "blockquotes": 1}
+_LOST, _BARE = "doc_id % 3 = 1", "doc_id % 10 = 0"
+
+
+def _check(name: str, n: int) -> str:
+    """A check's columns: a bare heading has one heading and nothing else, and what is not there has a recall of -1."""
+    absent = "false" if name == "headings" else _BARE
+    size = f"CASE WHEN {_BARE} THEN {int(name == 'headings')} ELSE {n} END"
+    recall = f"CASE WHEN {absent} THEN -1.0 WHEN {_LOST} THEN 0.0 ELSE 1.0 END"
+    return f"{recall} AS {name}_recall, {size} AS {name}_orig, CASE WHEN {_LOST} THEN 0 ELSE {size} END AS {name}_found, {absent} OR NOT ({_LOST}) AS {name}_pass"
+
+
+_CHECKED = f"""{CUSTOMERS}, sized AS (SELECT doc_id, length({_note("L0")}) AS original_chars, CASE WHEN {_LOST} THEN 0 ELSE length({_note("L4_gd")}) END AS compressed_chars FROM cust),
+checked AS (SELECT doc_id, round((1 - compressed_chars / original_chars) * 100, 1) AS savings_pct, original_chars, compressed_chars, {", ".join(_check(*x) for x in _ITEMS.items())},
+  CASE WHEN {_LOST} AND NOT {_BARE} THEN 0.0 ELSE 1.0 END AS languages_recall, CASE WHEN {_BARE} THEN 0 ELSE 1 END AS languages_orig, CASE WHEN {_BARE} OR {_LOST} THEN 0 ELSE 1 END AS languages_common, NOT ({_LOST} AND NOT {_BARE}) AS languages_pass,
+  CASE WHEN NOT {_LOST} THEN CASE WHEN {_BARE} THEN 2 ELSE 8 END WHEN {_BARE} THEN 1 ELSE 0 END AS checks_passed, CASE WHEN {_BARE} THEN 2 ELSE 8 END AS checks_total, NOT ({_LOST}) AS pass FROM sized)"""
+_MEANS = ", ".join(f"round(coalesce(avg({k}_recall) FILTER ({k}_recall >= 0), 0.0), 3) AS {k}_recall" for k in _ITEMS)
+_STRUCTURE = {"headings": (4, 1), "lists": (5, 0), "tables": (4, 0)}  # of a note and of a bare heading; only level 1 keeps their form
+
+ORACLE_SQL |= {
+    "strip_code_comments_by_language": f"WITH {CUSTOMERS} " + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS language, {X.sql(left)} AS output FROM cust" for name, (_, left) in X.COMMENTED.items()),
+    "grammar_strip": templated_sql(X.PROSE_STRIPPED),
+    "deduplicate": templated_sql(X.REPEATS_REPLACED),
+    "dictionary_compress": templated_sql(X.PATHS_CODED),
+    "squeeze_code": f"WITH {CUSTOMERS} SELECT doc_id, CASE WHEN {_BARE} THEN {X.sql(X.DOTTED)} ELSE {X.sql(X.NOTE_L1_CODE)} END AS output FROM cust",
+    "minify_l1": minified_sql("L1"),
+    "minify_l2": minified_sql("L2"),
+    "minify_l3": minified_sql("L3"),
+    "minify_l4": minified_sql("L4_gd"),
+    "config_grid_savings": f"""WITH {CUSTOMERS}, {_RUNS}, total AS (SELECT config, CAST(sum(bytes // 4) AS BIGINT) AS tokens, CAST(sum(bytes) AS BIGINT) AS bytes FROM runs GROUP BY config)
+        SELECT *, (1 - bytes / (SELECT bytes FROM total WHERE config = 'L0')) * 100 AS savings_pct FROM total""",
+    "monotonicity": f"""WITH {CUSTOMERS}, {_RUNS}, bare AS (SELECT doc_id, level, bytes, lag(bytes) OVER (PARTITION BY doc_id ORDER BY level) AS previous FROM runs WHERE length(config) = 2)
+        SELECT doc_id, level, bytes, previous FROM bare WHERE bytes > previous""",
+    "structure_preservation": f"WITH {CUSTOMERS}, n AS (SELECT count(*) FILTER (NOT {_BARE}) AS notes, count(*) FILTER ({_BARE}) AS bare FROM cust) "
+    + "SELECT config, "
+    + ", ".join(f"notes * {a} + bare * {b} AS {k}_total, CASE WHEN config = 'L1' THEN notes * {a} + bare * {b} ELSE 0 END AS {k}_match" for k, (a, b) in _STRUCTURE.items())
+    + " FROM n, (VALUES ('L1'), ('L2'), ('L3'), ('L4')) c(config)",
+    "removed_words": f"WITH {CUSTOMERS}, {_RUNS}, {_REMOVED} SELECT * FROM gone",
+    "grammar_coverage": f"""WITH {CUSTOMERS}, {_RUNS}, {_REMOVED} SELECT CAST(sum(n) AS BIGINT) AS total_removed, CAST(coalesce(sum(n) FILTER (approved), 0) AS BIGINT) AS in_frequency_table, CAST(coalesce(sum(n) FILTER (NOT approved AND regexp_matches(word, '^\\p{{Lu}}+$')), 0) AS BIGINT) AS protected_removed,
+        CAST(coalesce(sum(n) FILTER (NOT approved AND NOT regexp_matches(word, '^\\p{{Lu}}+$')), 0) AS BIGINT) AS unexpected, coalesce(array_to_string(list(word ORDER BY word) FILTER (NOT approved), ','), '') AS unexpected_words FROM gone""",
+    "dictionary_reversibility": f"WITH {CUSTOMERS} SELECT count(*) FILTER (NOT {_BARE}) AS files_with_dict, count(*) FILTER (NOT {_BARE}) AS fully_reversible, '' AS issues FROM cust",
+    "recall_checks": f"WITH {_CHECKED} SELECT * FROM checked",
+    "threshold_gate": f"WITH {_CHECKED} SELECT doc_id, checks_passed, checks_total FROM checked WHERE NOT pass",
+    "corpus_summary": f"""WITH {_CHECKED} SELECT count(*) AS n_docs, count(*) FILTER (pass) AS n_pass, CAST(sum(original_chars) AS BIGINT) AS original_chars, CAST(sum(compressed_chars) AS BIGINT) AS compressed_chars,
+        round((1 - sum(compressed_chars) / sum(original_chars)) * 100, 1) AS savings_pct, CAST(min(CAST(pass AS INT)) AS INT) AS all_pass, round(avg(languages_recall), 3) AS code_languages_recall, {_MEANS} FROM checked""",
+}

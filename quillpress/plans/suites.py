@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -15,17 +16,27 @@ from ..functions import text as T
 from ..functions.lexicon import APPROVED
 from ..operators import dictionary
 from ..operators.lines import words
-from ..operators.minify import minify_output, text_udf
+from ..operators.minify import minify_many, text_udf
+from ..workers import ship
 
+#: Examples in a report.
+SHOWN = 20
 
-def run_grid(corpus: DataFrame, configs: dict[str, Config] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, config, level, output, bytes, tokens): a plan per setting over one corpus; cache or store it before the suites."""
-
-    def one(name: str, config: Config) -> DataFrame:
-        out = minify_output(F.col(text_col), config)
-        return corpus.select(F.col(id_col).alias("doc_id"), F.lit(name).alias("config"), F.lit(int(config.level)).alias("level"), out.alias("output"))
 
-    runs = reduce(DataFrame.unionByName, (one(*x) for x in (configs or grid()).items()))
+def run_grid(corpus: DataFrame, configs: dict[str, Config] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, config, level, output, bytes, tokens): one pass over the corpus for all settings; store it before several suites read it."""
+    named = configs or grid()
+    ship()
+
+    @F.pandas_udf("array<string>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([None if x is None else minify_many(x, list(named.values())) for x in batch], dtype=object)
+
+    settings = F.array(*(F.struct(F.lit(k).alias("config"), F.lit(int(c.level)).alias("level")) for k, c in named.items()))
+    each = corpus.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("outputs"))
+    made = F.coalesce("outputs", F.array_repeat(F.lit(None).cast("string"), len(named)))
+    runs = each.select("doc_id", F.inline(F.arrays_zip(settings.alias("x"), made.alias("output")))).select("doc_id", "x.config", "x.level", "output")
     size = F.octet_length("output").cast("long")
     return runs.withColumns({"bytes": size, "tokens": F.floor(size / 4).cast("long")})
 
@@ -60,39 +71,47 @@ def _held(a, b):
     return F.filter(a, lambda x: F.exists(b, lambda y: x == y))
 
 
-def grammar_coverage(runs: DataFrame, plain: str = "L2", stripped: str = "L2_g") -> DataFrame:
-    """One row: words that grammar stripping removed from all places of a document, by whether that is expected."""
+def removed_words(runs: DataFrame, plain: str = "L2", stripped: str = "L2_g") -> DataFrame:
+    """(word, n, approved): words that grammar stripping removed from all places of a document, and from how many places."""
     bare = words(runs.where(F.col("config") == plain), text_col="output")
     left = words(runs.where(F.col("config") == stripped), text_col="output").distinct()
     gone = bare.where(F.octet_length("word") > 1).groupBy("doc_id", "word").agg(F.count("*").alias("n")).join(left, ["doc_id", "word"], "left_anti")
-    approved = F.lower("word").isin(*sorted(APPROVED))
+    return gone.groupBy("word").agg(F.sum("n").alias("n")).withColumn("approved", F.lower("word").isin(*sorted(APPROVED)))
+
+
+def grammar_coverage(runs: DataFrame, plain: str = "L2", stripped: str = "L2_g") -> DataFrame:
+    """One row: how many words were removed, by whether that is expected, and the SHOWN unexpected ones that come first by name."""
+    gone = removed_words(runs, plain, stripped)
     capital = F.col("word").rlike(r"^\p{Lu}+$")
     share = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias
-    return gone.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_removed"),
-        share(approved)("in_frequency_table"),
-        share(~approved & capital)("protected_removed"),
-        share(~approved & ~capital)("unexpected"),
-        F.array_sort(F.collect_set(F.when(~approved, F.col("word")))).alias("unexpected_words"),
-    )
+    approved = F.col("approved")
+    total = gone.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_removed"), share(approved)("in_frequency_table"), share(~approved & capital)("protected_removed"), share(~approved & ~capital)("unexpected"))
+    return total.crossJoin(_first(gone.where(~approved).select(F.col("word").alias("x")), "unexpected_words"))
+
+
+def _first(found: DataFrame, name: str) -> DataFrame:
+    """One row: the SHOWN least values of x as an array."""
+    return found.orderBy("x").limit(SHOWN).agg(F.array_sort(F.collect_list("x")).alias(name))
 
 
 def dictionary_reversibility(runs: DataFrame, plain: str = "L2", coded: str = "L2_d") -> DataFrame:
-    """One row: documents with a dictionary, and those whose expansion gives the plain output."""
+    """One row: documents with a dictionary, those whose expansion gives the plain output, and the SHOWN first ids of others."""
     own = runs.where(F.col("config") == coded).select("doc_id", F.col("output").alias("coded"))
     own = own.where(F.size(T.dict_entries(F.col("coded"))) > 0)
     both = own.join(runs.where(F.col("config") == plain).select("doc_id", "output"), "doc_id")
     expanded = text_udf(lambda x: dictionary.expand(x))(F.col("coded"))
-    same = T.trim(expanded) == T.trim(F.col("output"))
-    return both.agg(F.count("*").alias("files_with_dict"), F.count_if(same).alias("fully_reversible"), F.array_sort(F.collect_list(F.when(~same, F.col("doc_id")))).alias("issues"))
+    both = both.select("doc_id", (T.trim(expanded) == T.trim(F.col("output"))).alias("same"))
+    total = both.agg(F.count("*").alias("files_with_dict"), F.count_if("same").alias("fully_reversible"))
+    return total.crossJoin(_first(both.where(~F.col("same")).select(F.col("doc_id").alias("x")), "issues"))
 
 
 def report(runs: DataFrame, corpus: DataFrame) -> dict:
-    """All suites as plain data: a row per setting, level or suite, and violations in full."""
+    """All suites as plain data, of stored runs: a row per setting, level or suite, the count of violations and the SHOWN first."""
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     return {
         "token_savings": {r.pop("config"): r for r in rows(token_savings(runs).orderBy("config"))},
-        "monotonicity_violations": rows(monotonicity(runs).orderBy("doc_id", "level")),
+        "monotonicity_violations": monotonicity(runs).count(),
+        "first_violations": rows(monotonicity(runs).orderBy("doc_id", "level").limit(SHOWN)),
         "structure_preservation": {r.pop("config"): r for r in rows(structure_preservation(runs, corpus).orderBy("config"))},
         "grammar_coverage": rows(grammar_coverage(runs))[0],
         "dictionary_reversibility": rows(dictionary_reversibility(runs))[0],
@@ -103,14 +122,15 @@ def as_text(found: dict) -> str:
     """The report for people."""
     out = ["Token savings"]
     out += [f"  {k:<6} {v['tokens']:>12} tokens {v['bytes']:>14} bytes {v['savings_pct']:6.1f} %" for k, v in sorted(found["token_savings"].items())]
-    out.append(f"Monotonicity: {len(found['monotonicity_violations'])} violations")
-    out += [f"  {v['doc_id']}: level {v['level']} ({v['bytes']}) > {v['previous']}" for v in found["monotonicity_violations"][:20]]
+    out.append(f"Monotonicity: {found['monotonicity_violations']} violations")
+    out += [f"  {v['doc_id']}: level {v['level']} ({v['bytes']}) > {v['previous']}" for v in found["first_violations"]]
     out.append("Structure")
     for k, v in sorted(found["structure_preservation"].items()):
         share = lambda x, v=v: 100.0 if not v[f"{x}_total"] else 100.0 * v[f"{x}_match"] / v[f"{x}_total"]
         out.append(f"  {k}: headings {share('headings'):.1f} %, lists {share('lists'):.1f} %, tables {share('tables'):.1f} %")
     g, d = found["grammar_coverage"], found["dictionary_reversibility"]
     out.append(f"Grammar: {g['total_removed']} removed, {g['in_frequency_table']} expected, {g['protected_removed']} capitals, {g['unexpected']} unexpected")
+    out += [f"  {w}" for w in g["unexpected_words"]]
     out.append(f"Dictionary: {d['fully_reversible']} of {d['files_with_dict']} reversible")
     return "\n".join(out) + "\n"
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import expected
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,6 +49,23 @@ def md_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), text.alias("text"))
 
 
+def templated(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
+    """A document per customer: a template with the customer's number and market segment."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), _filled(template).alias("text"))
+
+
+def _filled(template: str) -> Column:
+    return F.replace(F.replace(F.lit(template), F.lit("{k}"), F.col("c_custkey").cast("string")), F.lit("{s}"), F.col("c_mktsegment"))
+
+
+def md_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note per customer; every tenth is only a heading whose letters have longer lower cases."""
+    text = F.when(F.col("c_custkey") % 10 == 0, _filled(expected.DOTTED)).otherwise(_filled(expected.NOTE))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+
+
+#: The templates' columns.
+CUSTOMERS = "cust AS (SELECT c_custkey AS doc_id, CAST(c_custkey AS VARCHAR) AS k, c_mktsegment AS s FROM customer)"
 NL = "chr(10)"
 #: The same documents as common table expressions of DuckDB.
 MD_ORDERS = """
