@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillpress.llm import stages
-from quillpress.llm.shared import materialize, table
+from quillpress.llm.shared import forget, materialize, table, tidy, written
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -24,7 +24,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, first = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(first, keep=1)  # what the stage wrote for itself, and its input
+        tidy(spark)
     return docs

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_column, materialize, ship
+from .shared import binary_column, materialize, ship, tidy
 from .simhash import connected, keyed
 
 SHINGLE = 5
@@ -234,6 +234,8 @@ def near_copy_links(texts: DataFrame, sets: DataFrame, shingle: int = SHINGLE, t
 
     rows = sets.groupBy("node").agg(*(F.first(x).alias(x) for x in ("n", "f1", "f2", "prefix"))).select(F.posexplode("prefix").alias("pos", "token"), "node", "n", "f1", "f2").select("token", "node", "n", "pos", "f1", "f2")
     met = materialize(rows.repartition("token").sortWithinPartitions("token").mapInArrow(_meet(threshold), "a long, b long, n int, pos int, f1 long, f2 long"), "copies-met")
+    del rows
+    tidy(texts.sparkSession)
     pairs = materialize(met.where("n < 0").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "copies-pairs")
     links = linked(pairs)
     if known is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -47,10 +48,12 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(start: int = 0) -> None:
-    """Delete what materialize() wrote, from the table number start on; results that still read it must be stored first."""
-    while len(_WRITTEN) > start:
-        session, path = _WRITTEN.pop()
+def forget(start: int = 0, keep: int = 0) -> None:
+    """Delete what materialize() wrote from the table number start on, but for the last `keep` ones; results that still read it must be stored first."""
+    last = [_WRITTEN.pop() for _ in range(min(keep, len(_WRITTEN) - start))]
+    gone = [_WRITTEN.pop() for _ in range(len(_WRITTEN) - start)]
+    _WRITTEN.extend(reversed(last))
+    for session, path in gone:
         try:
             target = session._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(session._jsc.hadoopConfiguration()).delete(target, True)
@@ -58,6 +61,12 @@ def forget(start: int = 0) -> None:
             continue
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; its cleaner waits for a collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written() -> int:
     """The number of tables that materialize() has written and forget() has not deleted."""
     return len(_WRITTEN)

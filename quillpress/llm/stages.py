@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import mixing, secret_scan, toxicity
 from .near_copies import near_copy_components
 from .packing import pack
-from .shared import materialize, table
+from .shared import materialize, table, tidy
 from .simhash import near_duplicate_components
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -51,6 +51,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """As drop_near_duplicates, but groups also join texts whose five-word shingles have a Jaccard similarity of at least 0.8."""
     docs = docs.select(*COLUMNS)
     near = materialize(near_duplicate_components(docs).select("id", "uid", "root"), "near-groups")
+    tidy(spark)
     return first_rows(docs, materialize(near_copy_components(docs, near), "near-copies"))
 
 

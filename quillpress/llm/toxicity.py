@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,9 +120,10 @@ class Bag:
                 first.append(len(words))
                 doc.append(self.docs)
             self.docs += 1
-        self.words, self.first, self.doc = np.array(words), np.array(first), np.array(doc, dtype=np.int64)
-        self.rows, self.row_first = np.array(rows), np.array(row_first)
-        self.text, self.text_first = np.array(text), np.array(text_first)
+        of = lambda x, kind: np.frombuffer(x, kind)  # noqa: E731  the arrays' own memory
+        self.words, self.first, self.doc = of(words, np.int32), of(first, np.int64), of(doc, np.int32)
+        self.rows, self.row_first = of(rows, np.int32), of(row_first, np.int64)
+        self.text, self.text_first = of(text, np.int32), of(text_first, np.int64)
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,8 +306,8 @@ def fold(id_col: Column) -> Column:
     return F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % 3
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", s: Settings = Settings()) -> Scorer:
-    """Fit on a bounded sample of the labelled rows where usable (over the column named id) holds."""
+def sampled(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, s: Settings) -> DataFrame:
+    """(id, label, words): the bounded sample of labelled rows, words joined by spaces."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(usable).groupBy("id").agg(F.max("label").alias("label"))
     order = (F.xxhash64("id"), F.col("id"))
     pick = known.where("label = 1").orderBy(*order).limit(s.max_docs).unionByName(known.where("label = 0").orderBy(*order).limit(s.max_docs))
@@ -326,11 +328,22 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
         if r["size"] <= room[r["label"]]:
             room[r["label"]] -= r["size"]
             taken.append(r["id"])
-    found = rows.where(F.col("id").isin(taken)).select("id", "label", "words").collect()  # 2 * max_bytes bytes
-    found.sort(key=lambda r: r["id"])
-    labels_of = [r["label"] for r in found]
-    found = [bytes(r["words"]) for r in found]
-    return train_words((x.split() for x in found), labels_of, s)
+    return rows.where(F.col("id").isin(taken)).select("id", "label", "words")
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", s: Settings = Settings()) -> Scorer:
+    """Fit on a bounded sample of the labelled rows where usable (over the column named id) holds, in one task that gets its 2 * max_bytes bytes."""
+    found = sampled(docs, labels, usable, id_col, text_col, label_col, s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, schema)
+        table = table.take(pc.sort_indices(table["id"]))
+        made = train_words((x.as_py().split() for x in table["words"]), table["label"].to_pylist(), s)
+        yield pa.RecordBatch.from_arrays([pa.array([made.weight.tobytes()], pa.binary()), *(pa.array([x], pa.float64()) for x in (made.bias, made.a, made.b))], names=["weight", "bias", "a", "b"])
+
+    schema = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("words", pa.binary())])
+    made = found.repartition(1).mapInArrow(run, "weight binary, bias double, a double, b double").first()
+    return train_words([], [], s) if made is None else Scorer(np.frombuffer(bytes(made["weight"]), np.float32), made["bias"], made["a"], made["b"], s)
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -65,14 +65,12 @@ def test_every_window_of_a_sampled_text_is_read():
     assert {w for x in windows_of(words, Settings()) for w in x} == set(words)
 
 
-def test_the_sample_is_bounded_in_bytes(docs, spark, monkeypatch):
+def test_the_sample_is_bounded_in_bytes(docs, spark):
     """A row that does not fit in what is left of its class's bytes is passed over, others are read whole."""
-    seen = {}
-    monkeypatch.setattr(toxicity, "train_words", lambda words, labels, s: seen.update(words=list(words), labels=labels))
     texts = ["long " * 500] + [f"text number {i} " * 5 for i in range(20)]
     known = spark.createDataFrame([(i, i % 2) for i in range(21)], "doc_id long, toxic int")
-    toxicity.fit(docs([{"text": x} for x in texts]), known, F.col("id") >= 0, s=Settings(max_bytes=400))
-    assert 0 < len(seen["words"]) < 20 and sum(len(b" ".join(w)) for w, y in zip(seen["words"], seen["labels"], strict=True) if y) <= 400
-    assert all(len(w) == 15 for w in seen["words"])
-    toxicity.fit(docs([{"text": x} for x in texts]), known, F.col("id") >= 0)
-    assert sorted(map(len, seen["words"])) == [15] * 20 + [500]
+    take = lambda s: [(bytes(r["words"]), r["label"]) for r in toxicity.sampled(docs([{"text": x} for x in texts]), known, F.col("id") >= 0, "doc_id", "text", "toxic", s).collect()]
+    some = take(Settings(max_bytes=400))
+    assert 0 < len(some) < 20 and all(sum(len(w) for w, y in some if y == c) <= 400 for c in (0, 1))
+    assert all(len(w.split()) == 15 for w, _ in some)
+    assert sorted(len(w.split()) for w, _ in take(Settings())) == [15] * 20 + [500]
