@@ -336,7 +336,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     found = sampled(docs, labels, usable, id_col, text_col, label_col, s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, schema)
+        table = pa.Table.from_batches(batches).cast(schema) if (batches := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
         table = table.take(pc.sort_indices(table["id"]))
         made = train_words((x.as_py().split() for x in table["words"]), table["label"].to_pylist(), s)
         yield pa.RecordBatch.from_arrays([pa.array([made.weight.tobytes()], pa.binary()), *(pa.array([x], pa.float64()) for x in (made.bias, made.a, made.b))], names=["weight", "bias", "a", "b"])
