@@ -4,7 +4,7 @@ from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 
 from quillpress.config import Config, GrammarLevel, Level
-from quillpress.operators import code, dictionary, lists, restructure, scan
+from quillpress.operators import code, dictionary, grammar, lists, restructure, scan
 from quillpress.operators.minify import minify_text
 from quillpress.operators.textlines import size
 
@@ -57,3 +57,16 @@ def test_lines_end(text):
     for f in (lists.flatten_nested, lists.inline_tiny_sections, lists.merge_short_items):
         out = f(text)
         assert out == "" or out.endswith("\n")
+
+
+WORDS = ["the", "The", "a", "A", "an", "config", "configuration", "in order to", "make sure to", "documents", "my_config", "not", "don't", "never", "hardly", "and", "very", "file.", "a.b", "x:y", "http://a.b/c", "docs.example.com/path", "is", "IT", "it's", "über", "2nd", "errors"]
+JOINS = [" ", " ", " ", "  ", ", ", ". ", "; ", "\n", "(", ") ", "! ", " — ", "-", "", "`", " ` ", "``", "```", "\n```py\n", "?\n\n"]
+PROSE = st.lists(st.tuples(st.sampled_from(WORDS), st.sampled_from(JOINS)), max_size=30).map(lambda xs: "".join(w + j for w, j in xs))
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.one_of(PROSE, ANY), st.sampled_from(list(GrammarLevel)))
+def test_short_ways_equal_the_long_ones(text, level):
+    """Lines and texts that take the quicker patterns have the results of the general passes."""
+    assert grammar.replace_phrases(text) == grammar._replace_any(text)
+    assert grammar.drop_words(text, level.threshold) == grammar._drop_any(text, level.threshold)
