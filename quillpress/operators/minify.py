@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,10 +90,10 @@ def text_udf(function) -> Column:
     """A text function as a vectorised expression; null stays null."""
     ship()
 
-    @F.pandas_udf("string")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pd.Series([None if x is None else function(x) for x in batch], dtype=object)
+            yield pa.array([None if x is None else function(x) for x in batch.to_pylist()], pa.string())
 
     return run
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -28,10 +28,10 @@ def run_grid(corpus: DataFrame, configs: dict[str, Config] | None = None, id_col
     named = configs or grid()
     ship()
 
-    @F.pandas_udf("array<string>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pd.Series([None if x is None else minify_many(x, list(named.values())) for x in batch], dtype=object)
+            yield pa.array([None if x is None else minify_many(x, list(named.values())) for x in batch.to_pylist()], pa.list_(pa.string()))
 
     settings = F.array(*(F.struct(F.lit(k).alias("config"), F.lit(int(c.level)).alias("level")) for k, c in named.items()))
     each = corpus.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("outputs"))
