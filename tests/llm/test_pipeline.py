@@ -57,14 +57,16 @@ def test_run(spark, sf):
 
 
 def test_cases(docs, spark, sf):
-    rows = [{"text": None}, {"text": ""}, {"text": "a b c d e f"}, {"text": "a b c d e f"}, {"doc_id": 2, "text": "a b c d e f"}, {"doc_id": None, "text": "token=abcdefghijklmnop", "lang": None, "source": None}]
+    rows = [{"text": None}, {"text": ""}, {"text": "a b c d e f"}, {"text": "a b c d e f"}, {"doc_id": 2, "text": "a b c d e f"}, {"doc_id": None, "text": "token=abcdefghijklmnop", "lang": None, "source": None}, {"text": " " * 1_100_000 + "x"}]
     for name, f in STAGES:
         out = f(spark, docs(rows), sf)
         assert out.count() >= 0
         if name != "packing":
             assert out.columns == list(stages.COLUMNS)
         assert f(spark, docs(rows).where("doc_id > 100"), sf).count() == 0
-    assert sorted(r["doc_id"] for r in stages.drop_near_duplicates(spark, docs(rows), sf).collect() if r["doc_id"] is not None) == [0, 2]
+    assert sorted(r["doc_id"] for r in stages.drop_near_duplicates(spark, docs(rows), sf).collect() if r["doc_id"] is not None) == [0, 2, 6]
+    long = [r for r in stages.pack_sequences(spark, docs(rows), sf).collect() if r["doc_id"] == 6]
+    assert sum(r["length"] for r in long) == long[0]["doc_tokens"] > 1_000_000
     assert [r["text"] for r in stages.mask_secrets(spark, docs(rows), sf).collect() if r["doc_id"] is None] == ["[secret]"]
 
 
