@@ -14,6 +14,9 @@ and compared there with the fingerprints at home: no link is missed, none needs
 Within an anchor only a spanning forest of the links is passed on, and equal fingerprints have
 been made one row before, so a large group of copies gives a row each and not a row per pair.
 The groups are then joined across anchors by large-star and small-star rounds on DataFrames.
+Copies are counted with partial sums, and only the join that gives every row its group sees a
+fingerprint that a large share of rows has; it is an inner join, which Spark splits where a
+fingerprint's rows are many (spark.sql.adaptive.skewJoin, on by default).
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and
 links like any other; rows that repeat an id are separate rows with one component each; a null
