@@ -30,10 +30,12 @@ def md_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def md_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document per region: a nested list of its nations."""
-    nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r")).agg(F.array_sort(F.collect_list("n_name")).alias("ns"))
-    text = F.concat(F.lit("## Region\n- "), F.col("r_name"), F.lit("\n  - "), F.array_join("ns", "\n  - "), F.lit("\n"))
-    return table(spark, sf_dir, "region").join(nations, F.col("r_regionkey") == F.col("r")).select(F.col("r_regionkey").cast("long").alias("doc_id"), text.alias("text"))
+    """A document per nation and market segment: a nested list of their customers."""
+    names = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.array_sort(F.collect_list("c_name")).alias("names"))
+    both = table(spark, sf_dir, "nation").join(names, F.col("n_nationkey") == F.col("c_nationkey"))
+    doc_id = F.col("n_nationkey") * 10 + F.instr(F.lit("ABFHM"), F.substring("c_mktsegment", 1, 1))
+    text = F.concat(F.lit("## Region\n- "), F.col("n_name"), F.lit(" "), F.col("c_mktsegment"), F.lit("\n  - "), F.array_join("names", "\n  - "), F.lit("\n"))
+    return both.select(doc_id.cast("long").alias("doc_id"), text.alias("text"))
 
 
 def md_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +85,8 @@ md AS (
 )"""
 MD_GEO = """
 md AS (
-  SELECT CAST(r_regionkey AS BIGINT) AS doc_id, '## Region' || chr(10) || '- ' || r_name || chr(10) || '  - ' || ns || chr(10) AS text
-  FROM region JOIN (SELECT n_regionkey, string_agg(n_name, chr(10) || '  - ' ORDER BY n_name) AS ns FROM nation GROUP BY n_regionkey) ON n_regionkey = r_regionkey
+  SELECT CAST(n_nationkey * 10 + instr('ABFHM', c_mktsegment[1]) AS BIGINT) AS doc_id, '## Region' || chr(10) || '- ' || n_name || ' ' || c_mktsegment || chr(10) || '  - ' || names || chr(10) AS text
+  FROM nation JOIN (SELECT c_nationkey, c_mktsegment, string_agg(c_name, chr(10) || '  - ' ORDER BY c_name) AS names FROM customer GROUP BY ALL) ON c_nationkey = n_nationkey
 )"""
 MD_CONVERSATIONS = """
 md AS (
