@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -15,32 +15,51 @@ from ..functions import extract
 from ..functions import text as T
 from ..functions.lexicon import APPROVED
 from ..operators import dictionary
-from ..operators.lines import words
+from ..operators.lines import words_of
 from ..operators.minify import minify_many, text_udf
 from ..workers import ship
 
-#: Examples in a report.
-SHOWN = 20
+#: Examples in a report, and parts of a table in which they are looked for.
+SHOWN, PARTS = 20, 64
 
 
-def run_grid(corpus: DataFrame, configs: dict[str, Config] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, config, level, output, bytes, tokens): one pass over the corpus for all settings; store it before several suites read it."""
-    named = configs or grid()
+def _outputs(text: Column, configs: list[Config]) -> Column:
+    """What each setting makes of a text, as an array; never made twice, as a filter on it is not moved below it."""
     ship()
 
     @F.arrow_udf("array<string>")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pa.array([None if x is None else minify_many(x, list(named.values())) for x in batch.to_pylist()], pa.list_(pa.string()))
+            yield pa.array([None if x is None else minify_many(x, configs) for x in batch.to_pylist()], pa.list_(pa.string()))
+
+    return run.asNondeterministic()(text)
+
 
+def run_grid(corpus: DataFrame, configs: dict[str, Config] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, config, level, output, bytes, tokens): one pass over the corpus for all settings; store it before several suites read it."""
+    named = configs or grid()
     settings = F.array(*(F.struct(F.lit(k).alias("config"), F.lit(int(c.level)).alias("level")) for k, c in named.items()))
-    each = corpus.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("outputs"))
+    each = corpus.select(F.col(id_col).alias("doc_id"), _outputs(F.col(text_col), list(named.values())).alias("outputs"))
     made = F.coalesce("outputs", F.array_repeat(F.lit(None).cast("string"), len(named)))
     runs = each.select("doc_id", F.inline(F.arrays_zip(settings.alias("x"), made.alias("output")))).select("doc_id", "x.config", "x.level", "output")
     size = F.octet_length("output").cast("long")
     return runs.withColumns({"bytes": size, "tokens": F.floor(size / 4).cast("long")})
 
 
+def run_beside(corpus: DataFrame, configs: dict[str, Config] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, a column for each setting): the same pass, a row per document, so that a suite compares settings without a join."""
+    named = configs or grid()
+    each = corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _outputs(F.col(text_col), list(named.values())).alias("outputs"))
+    return each.select("doc_id", "text", *(F.col("outputs")[i].alias(k) for i, k in enumerate(named)))
+
+
+def beside(runs: DataFrame, *names: str) -> DataFrame:
+    """(doc_id, a column for each of the names): runs of run_grid as a row per document; those of run_beside pass through."""
+    if "config" not in runs.columns:
+        return runs
+    return runs.where(F.col("config").isin(*names)).groupBy("doc_id").agg(*(F.max(F.when(F.col("config") == k, F.col("output"))).alias(k) for k in names))
+
+
 def token_savings(runs: DataFrame) -> DataFrame:
     """(config, tokens, bytes, savings_pct): totals, and percent of L0's bytes saved."""
     total = runs.groupBy("config").agg(F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
@@ -73,25 +92,43 @@ def _held(a, b):
 
 def removed_words(runs: DataFrame, plain: str = "L2", stripped: str = "L2_g") -> DataFrame:
     """(word, n, approved): words that grammar stripping removed from all places of a document, and from how many places."""
-    bare = words(runs.where(F.col("config") == plain), text_col="output")
-    left = words(runs.where(F.col("config") == stripped), text_col="output").distinct()
-    gone = bare.where(F.octet_length("word") > 1).groupBy("doc_id", "word").agg(F.count("*").alias("n")).join(left, ["doc_id", "word"], "left_anti")
-    return gone.groupBy("word").agg(F.sum("n").alias("n")).withColumn("approved", F.lower("word").isin(*sorted(APPROVED)))
+    bare = F.filter(words_of(F.col(plain)), lambda w: F.octet_length(w) > 1)
+    gone = beside(runs, plain, stripped).select(_missing(bare, words_of(F.col(stripped))).alias("words")).select(F.explode("words").alias("word"))
+    return gone.groupBy("word").agg(F.count("*").alias("n")).withColumn("approved", F.lower("word").isin(*sorted(APPROVED)))
+
+
+def _missing(words: Column, left: Column) -> Column:
+    """The words, repeats included, that are not left; null is empty.  Nor is this made twice, for the filter that explode brings."""
+
+    @F.arrow_udf("array<string>")
+    def run(words: pa.Array, left: pa.Array) -> pa.Array:
+        found = []
+        for a, b in zip(words.to_pylist(), left.to_pylist(), strict=True):
+            held = set(b or ())
+            found.append([w for w in a or () if w not in held])
+        return pa.array(found, pa.list_(pa.string()))
+
+    return run.asNondeterministic()(words, left)
 
 
 def grammar_coverage(runs: DataFrame, plain: str = "L2", stripped: str = "L2_g") -> DataFrame:
     """One row: how many words were removed, by whether that is expected, and the SHOWN unexpected ones that come first by name."""
-    gone = removed_words(runs, plain, stripped)
+    gone = _with_shown(removed_words(runs, plain, stripped), "word", ~F.col("approved"))
     capital = F.col("word").rlike(r"^\p{Lu}+$")
     share = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias
     approved = F.col("approved")
-    total = gone.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_removed"), share(approved)("in_frequency_table"), share(~approved & capital)("protected_removed"), share(~approved & ~capital)("unexpected"))
-    return total.crossJoin(_first(gone.where(~approved).select(F.col("word").alias("x")), "unexpected_words"))
+    return gone.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_removed"), share(approved)("in_frequency_table"), share(~approved & capital)("protected_removed"), share(~approved & ~capital)("unexpected"), _first("unexpected_words"))
+
+
+def _with_shown(df: DataFrame, x: str, wanted: Column) -> DataFrame:
+    """df with shown: x of the SHOWN first wanted rows of each of PARTS parts, which hold the SHOWN first of all; one pass serves them and totals."""
+    part = Window.partitionBy(wanted, F.pmod(F.xxhash64(x), F.lit(PARTS))).orderBy(x)
+    return df.withColumn("shown", F.when(wanted & (F.row_number().over(part) <= SHOWN), F.col(x)))
 
 
-def _first(found: DataFrame, name: str) -> DataFrame:
-    """One row: the SHOWN least values of x as an array."""
-    return found.orderBy("x").limit(SHOWN).agg(F.array_sort(F.collect_list("x")).alias(name))
+def _first(name: str) -> Column:
+    """The SHOWN least values of shown as an array."""
+    return F.slice(F.array_sort(F.collect_list("shown")), 1, SHOWN).alias(name)
 
 
 def dictionary_reversibility(runs: DataFrame, plain: str = "L2", coded: str = "L2_d") -> DataFrame:
@@ -102,7 +139,7 @@ def dictionary_reversibility(runs: DataFrame, plain: str = "L2", coded: str = "L
     expanded = text_udf(lambda x: dictionary.expand(x))(F.col("coded"))
     both = both.select("doc_id", (T.trim(expanded) == T.trim(F.col("output"))).alias("same"))
     total = both.agg(F.count("*").alias("files_with_dict"), F.count_if("same").alias("fully_reversible"))
-    return total.crossJoin(_first(both.where(~F.col("same")).select(F.col("doc_id").alias("x")), "issues"))
+    return total.crossJoin(both.where(~F.col("same")).select(F.col("doc_id").alias("shown")).orderBy("shown").limit(SHOWN).agg(_first("issues")))
 
 
 def report(runs: DataFrame, corpus: DataFrame) -> dict:
