@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,11 +75,20 @@ def monotonicity(runs: DataFrame) -> DataFrame:
     return bare.where("bytes > previous").select("doc_id", "level", "bytes", "previous")
 
 
-def structure_preservation(runs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per level from 1: headings, list items and table rows of the originals, and how many the outputs hold."""
-    before = corpus.select(F.col(id_col).alias("doc_id"), extract.structure(F.col(text_col)).alias("before"))
-    after = runs.where(F.col("config").rlike("^L[1-4]$")).select("doc_id", "config", extract.structure(F.col("output")).alias("after"))
-    both = after.join(before, "doc_id")
+def structure_preservation(runs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per level from 1: headings, list items and table rows of the originals, and how many the outputs hold.
+
+    Runs of run_beside have their texts beside them; those of run_grid meet the corpus by document, never by broadcast, as
+    estimates know nothing of the texts' length.
+    """
+    if "config" in runs.columns:
+        before = corpus.select(F.col(id_col).alias("doc_id"), extract.structure(F.col(text_col)).alias("before"))
+        after = runs.where(F.col("config").rlike("^L[1-4]$")).select("doc_id", "config", extract.structure(F.col("output")).alias("after"))
+        both = after.hint("merge").join(before, "doc_id")
+    else:
+        levels = [x for x in runs.columns if re.fullmatch("L[1-4]", x)]
+        each = runs.withColumn("before", extract.structure(F.col("text"))).select("before", F.inline(F.array(*(F.struct(F.lit(x).alias("config"), F.col(x).alias("output")) for x in levels))))
+        both = each.select("config", "before", extract.structure(F.col("output")).alias("after"))
     cols = []
     for field, name in (("headings", "headings"), ("list_items", "lists"), ("table_rows", "tables")):
         a, b = F.col(f"before.{field}"), F.col(f"after.{field}")

@@ -49,3 +49,11 @@ def test_grammar_coverage_shows_the_first_of_all(notes, spark):
     assert got["unexpected"] + got["protected_removed"] == sum(r["n"] for r in other)
     none = suites.grammar_coverage(pair(notes.limit(0), "L2", "L2_g")).first()
     assert (none["total_removed"], none["unexpected"], none["unexpected_words"]) == (0, 0, [])
+
+
+def test_structures_are_not_broadcast(spark, sf, notes):
+    plan = optimized(QUERIES["structure_preservation"](spark, sf))
+    assert plan.count("Relation [") == 1 and plan.count("Join") == 0 and plan.count("ArrowEvalPython [") == 1
+    runs = suites.run_grid(notes)
+    assert "Broadcast" not in suites.structure_preservation(runs, notes)._jdf.queryExecution().executedPlan().toString()
+    assert rows(suites.structure_preservation(pair(notes, "L1", "L2", "L3", "L4"))) == rows(suites.structure_preservation(runs, notes))
