@@ -143,13 +143,11 @@ def _first(name: str) -> Column:
 
 def dictionary_reversibility(runs: DataFrame, plain: str = "L2", coded: str = "L2_d") -> DataFrame:
     """One row: documents with a dictionary, those whose expansion gives the plain output, and the SHOWN first ids of others."""
-    own = runs.where(F.col("config") == coded).select("doc_id", F.col("output").alias("coded"))
-    own = own.where(F.size(T.dict_entries(F.col("coded"))) > 0)
-    both = own.join(runs.where(F.col("config") == plain).select("doc_id", "output"), "doc_id")
-    expanded = text_udf(lambda x: dictionary.expand(x))(F.col("coded"))
-    both = both.select("doc_id", (T.trim(expanded) == T.trim(F.col("output"))).alias("same"))
-    total = both.agg(F.count("*").alias("files_with_dict"), F.count_if("same").alias("fully_reversible"))
-    return total.crossJoin(both.where(~F.col("same")).select(F.col("doc_id").alias("shown")).orderBy("shown").limit(SHOWN).agg(_first("issues")))
+    expanded = text_udf(lambda x: dictionary.expand(x))(F.col(coded))
+    has = (F.size(T.dict_entries(F.col(coded))) > 0) & F.col(plain).isNotNull()
+    both = beside(runs, plain, coded).select("doc_id", F.coalesce(has, F.lit(False)).alias("has"), (T.trim(expanded) == T.trim(F.col(plain))).alias("same"))
+    total = _with_shown(both, "doc_id", F.col("has") & ~F.coalesce("same", F.lit(True)))
+    return total.agg(F.count_if("has").alias("files_with_dict"), F.count_if(F.col("has") & F.col("same")).alias("fully_reversible"), _first("issues"))
 
 
 def report(runs: DataFrame, corpus: DataFrame) -> dict:

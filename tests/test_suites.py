@@ -57,3 +57,25 @@ def test_structures_are_not_broadcast(spark, sf, notes):
     runs = suites.run_grid(notes)
     assert "Broadcast" not in suites.structure_preservation(runs, notes)._jdf.queryExecution().executedPlan().toString()
     assert rows(suites.structure_preservation(pair(notes, "L1", "L2", "L3", "L4"))) == rows(suites.structure_preservation(runs, notes))
+
+
+def test_expansions_are_not_broadcast(spark, sf, notes):
+    plan = optimized(QUERIES["dictionary_reversibility"](spark, sf))
+    assert plan.count("Relation [") == 1 and plan.count("Join") == 0
+    assert rows(suites.dictionary_reversibility(pair(notes, "L2", "L2_d"))) == rows(suites.dictionary_reversibility(suites.run_grid(notes)))
+
+
+def test_ids_that_do_not_expand(spark):
+    coded = lambda k, end: (k, "L2_d", f"@dict:\n  @m1: foo\n@m1{end}\n")
+    bad = [coded(k, "!") for k in range(60, 0, -1)]
+    rest = [coded(61, ""), (62, "L2_d", "no dictionary"), (63, "L2_d", None), coded(64, "")]
+    plain = [(k, "L2", "foo" if k < 63 else None) for k in range(1, 64)]  # the last has no plain run
+    got = suites.dictionary_reversibility(spark.createDataFrame([*bad, *rest, *plain], "doc_id long, config string, output string")).first()
+    assert tuple(got) == (61, 1, list(range(1, suites.SHOWN + 1)))
+
+
+def test_offsets_of_characters():
+    from quillpress.operators.dictionary import _offsets
+
+    text = "aé—§\U0001f600\ud800z"
+    assert _offsets(text) == [len(text[:i].encode("utf-8", "surrogatepass")) for i in range(len(text) + 1)]
