@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, once
 
 REST = "~"
 ROUNDS, TOLERANCE = 200, 1e-6
@@ -60,14 +60,6 @@ def _category(value: Column, targets: dict[str, float]) -> Column:
     return F.when(value.isin(*targets), value).otherwise(REST) if targets else F.lit(REST)
 
 
-def _factor(now: DataFrame, by: list, value: str, cap: str, aim: Column) -> Column:
-    """The factor f by which sum(least(cap, f * value)) over by is aim: the largest root of its linear pieces."""
-    ordered = Window.partitionBy(*by).orderBy(F.when(F.col(value) > 0, F.col(cap) / F.col(value)).asc_nulls_last(), *(F.col(c) for c in now.columns if c.startswith("__")))
-    full = F.coalesce(F.sum(cap).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum(value).over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return F.greatest(F.lit(0.0), F.when(left > 0, (aim - full) / left))
-
-
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, budget: float | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (one column per dimension, tokens) with weight: shares that sum to 1 and meet the targets; and residual.
 
@@ -86,22 +78,23 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = R
         aim = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in wanted.items() for x in kv)), F.col(dim)), share) if wanted else share
         now = now.withColumn(f"{dim}_aim", aim)
         # each category once: its aim over its count of cells
-        once = F.sum(F.col(f"{dim}_aim") / F.col("n")).over(everything)
-        now = now.withColumn("n", F.count("*").over(Window.partitionBy(dim))).withColumn(f"{dim}_aim", F.when(once > 0, F.col(f"{dim}_aim") / once).otherwise(share)).drop("n")
+        whole = F.sum(F.col(f"{dim}_aim") / F.col("n")).over(everything)
+        now = now.withColumn("n", F.count("*").over(Window.partitionBy(dim))).withColumn(f"{dim}_aim", F.when(whole > 0, F.col(f"{dim}_aim") / whole).otherwise(share)).drop("n")
     now = now.withColumn("cap", F.lit(float("inf")) if budget is None else F.col("weight") / F.lit(float(budget)))
+    aimed = now = materialize(now, "mixing-cells")  # read once for each dimension; unstored, its plan would double with each
     for dim in targets:  # an aim above the category's tokens goes to the others of its dimension
-        room = now.groupBy(dim).agg(F.first(f"{dim}_aim").alias("aim"), F.sum("cap").alias("room"))
+        room = aimed.groupBy(dim).agg(F.first(f"{dim}_aim").alias("aim"), F.sum("cap").alias("room"))
         room = room.withColumn("f", _factor(room, [F.lit(1)], "aim", "room", F.lit(1.0), [dim])).withColumn("f", F.max("f").over(everything))
         now = now.drop(f"{dim}_aim").join(room.select(dim, F.least("room", F.col("aim") * F.coalesce("f", F.lit(1.0))).alias(f"{dim}_aim")), dim)
-    now = materialize(now.withColumn("residual", F.lit(float("inf"))), "mixing-cells")
-    for i in range(rounds):
-        now = _round(now.coalesce(1) if i % 4 == 0 else now, keys, tolerance)
-        if i % 4 == 3 or i + 1 == rounds:
-            now = materialize(now, "mixing-cells")
-            left = now.agg(F.max("residual")).first()[0]
-            if left is None or left <= tolerance:
-                break
-    return now.withColumn("weight", F.least("weight", "cap")).drop("cap", *(f"{dim}_aim" for dim in targets))
+    now = now.withColumn("residual", F.lit(float("inf")))
+    if not keys:
+        return now.withColumn("residual", F.lit(0.0)).withColumn("weight", F.least("weight", "cap")).drop("cap")
+    # the few cells stand in one row, in which all rounds are one expression: no plan grows with them, nor does the count of jobs
+    rows = now.coalesce(1).agg(F.array_sort(F.collect_list(F.struct(*keys, *(c for c in now.columns if c not in keys)))).alias("cells"))
+    done = rows.select("cells", _rounds(F.col("cells"), keys, rounds, tolerance).alias("done"))
+    done = done.select(F.explode(F.zip_with("cells", F.col("done.weights"), lambda c, w: F.struct(c.alias("c"), w.alias("w")))).alias("x"), F.col("done.residual").alias("r"))
+    out = materialize(done.select(*({"weight": F.col("x.w"), "residual": F.col("r")}.get(c, F.col(f"x.c.{c}")).alias(c) for c in now.columns)), "mixing-cells")
+    return out.withColumn("weight", F.least("weight", "cap")).drop("cap", *(f"{dim}_aim" for dim in targets))
 
 
 def _factor(now: DataFrame, by: list, value: str, cap: str, aim: Column, keys: list[str]) -> Column:
@@ -112,17 +105,52 @@ def _factor(now: DataFrame, by: list, value: str, cap: str, aim: Column, keys: l
     return F.when(left > 0, F.greatest(F.lit(0.0), (aim - full) / left))
 
 
-def _round(now: DataFrame, dims: list[str], tolerance: float) -> DataFrame:
-    """One pass over the dimensions, and the largest error after it; weights that are good enough stay."""
-    now = now.withColumn("old", F.col("weight"))
-    for dim in dims:
-        now = now.withColumn("f", _factor(now, [dim], "weight", "cap", F.col(f"{dim}_aim"), dims))
-        now = now.withColumn("weight", F.col("weight") * F.coalesce(F.max("f").over(Window.partitionBy(dim)), F.lit(0.0)))
-    off = [F.abs(F.sum(F.least("weight", "cap")).over(Window.partitionBy(dim)) - F.col(f"{dim}_aim")) for dim in dims]
-    now = now.withColumn("off", F.greatest(*off) if len(off) > 1 else off[0] if off else F.lit(0.0))
-    more = F.col("residual") > tolerance
-    now = now.withColumn("off", F.max("off").over(Window.partitionBy(F.lit(1))))
-    return now.withColumns({"weight": F.when(more, F.col("weight")).otherwise(F.col("old")), "residual": F.when(more, F.col("off")).otherwise(F.col("residual"))}).drop("old", "f", "off")
+def _factor_of(members: Column, aim: Column, weights: Column, caps: Column) -> Column:
+    """As _factor, of the cells of one category: members are their places in weights and caps."""
+    ratio = lambda i: F.when(F.get(weights, i) > 0, F.get(caps, i) / F.get(weights, i))
+    ordered = F.array_sort(F.transform(members, lambda i: F.struct(ratio(i).isNull().alias("last"), ratio(i).alias("ratio"), i.alias("i"))))
+
+    def largest(pieces: Column) -> Column:
+        left = F.aggregate(F.reverse(pieces), F.expr("cast(array() as array<double>)"), lambda a, p: F.concat(F.array(F.coalesce(F.get(a, 0), F.lit(0.0)) + F.get(weights, p["i"])), a))
+        both = F.zip_with(pieces, left, lambda p, x: F.struct(F.get(caps, p["i"]).alias("cap"), x.alias("left")))
+        start = F.struct(F.lit(0.0).alias("full"), F.lit(None).cast("double").alias("f"))
+        root = lambda a, x: F.when(x["left"] > 0, F.greatest(F.lit(0.0), (aim - a["full"]) / x["left"]))
+        return F.aggregate(both, start, lambda a, x: F.struct((a["full"] + x["cap"]).alias("full"), F.greatest(a["f"], root(a, x)).alias("f")), lambda a: F.coalesce(a["f"], F.lit(0.0)))
+
+    return once(ordered, largest)
+
+
+def _rounds(cells: Column, dims: list[str], rounds: int, tolerance: float) -> Column:
+    """(weights, residual) of an array of cells after the rounds; weights that are good enough stay.
+
+    A round is one pass over the dimensions; the residual is the largest error after it.
+    """
+
+    def dimension(dim: str) -> Column:
+        values = F.array_distinct(F.transform(cells, lambda c: c[dim]))
+        members = lambda v: F.filter(F.transform(cells, lambda c, i: i), lambda i: F.get(cells, i)[dim] == v)
+        category = lambda v: once(members(v), lambda m: F.struct(F.get(cells, F.get(m, 0))[f"{dim}_aim"].alias("aim"), m.alias("members")))
+        return once(values, lambda x: F.struct(F.transform(x, category).alias("categories"), F.transform(cells, lambda c: F.array_position(x, c[dim]).cast("int") - 1).alias("of")))
+
+    def run(fixed: Column) -> Column:
+        parts, caps = fixed["dims"], fixed["caps"]
+
+        def scaled(weights: Column, d: Column) -> Column:
+            factors = F.transform(d["categories"], lambda c: _factor_of(c["members"], c["aim"], weights, caps))
+            return once(factors, lambda f: F.transform(weights, lambda w, i: w * F.get(f, F.get(d["of"], i))))
+
+        def off(weights: Column) -> Column:
+            reached = lambda c: F.aggregate(c["members"], F.lit(0.0), lambda a, i: a + F.least(F.get(weights, i), F.get(caps, i)))
+            return F.array_max(F.flatten(F.transform(parts, lambda d: F.transform(d["categories"], lambda c: F.abs(reached(c) - c["aim"])))))
+
+        def one(state: Column, _: Column) -> Column:
+            more = once(F.aggregate(parts, state["weights"], scaled), lambda w: F.struct(w.alias("weights"), off(w).alias("residual")))
+            return F.when(state["residual"] > tolerance, more).otherwise(state)
+
+        start = F.struct(F.transform(cells, lambda c: c["weight"]).alias("weights"), F.lit(float("inf")).alias("residual"))
+        return F.aggregate(F.array_repeat(F.lit(0), rounds), start, one)
+
+    return once(F.struct(F.array(*map(dimension, dims)).alias("dims"), F.transform(cells, lambda c: c["cap"]).alias("caps")), run)
 
 
 def mix(docs: DataFrame, sources: dict[str, float] = SOURCES, langs: dict[str, float] = LANGS, topics: dict[str, float] = TOPICS, budget: float = BUDGET, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:

@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, once
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "random16", "random32", "random62", "random64")
@@ -57,16 +57,11 @@ def _empty(kind: str) -> Column:
     return F.expr(f"cast(array() as {kind})")
 
 
-def _once(value: Column, body) -> Column:
-    """body(value), where value is computed once however often, and within whatever lambda, body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _running(values: Column, join) -> Column:
     """join of the values up to each place: in each round every place joins the one 1, 2, 4, ... before it."""
     rounds = lambda v: F.when(F.size(v) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int"))).otherwise(_empty("array<int>"))
     step = lambda acc, r: F.transform(acc, lambda x, i: F.coalesce(join(x, F.get(acc, i - F.call_function("shiftleft", F.lit(1), r))), x))
-    return _once(values, lambda v: F.aggregate(rounds(v), v, step))
+    return once(values, lambda v: F.aggregate(rounds(v), v, step))
 
 
 def _below(ordered: Column, bound: Column) -> Column:
@@ -81,7 +76,7 @@ def places(text: Column, pattern: str, group: int = 0) -> Column:
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     pairs = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), found, lambda g, m: F.struct((F.length(g) + F.length(m)).alias("both"), m.alias("value"))), inner, lambda a, b: F.struct(a["both"].alias("both"), a["value"].alias("value"), F.length(b).alias("inner")))
     placed = lambda x: F.zip_with(x, _running(F.transform(x, lambda y: y["both"]), lambda p, q: p + q), lambda y, end: F.struct((end - F.length(y["value"])).alias("start"), end.alias("end"), y["inner"].alias("inner"), y["value"].alias("value")))
-    return F.when(text.rlike(pattern), _once(pairs, placed)).otherwise(_empty("array<struct<start:int,end:int,inner:int,value:string>>"))
+    return F.when(text.rlike(pattern), once(pairs, placed)).otherwise(_empty("array<struct<start:int,end:int,inner:int,value:string>>"))
 
 
 def _as_spans(found: Column, kind: str) -> Column:
@@ -90,43 +85,50 @@ def _as_spans(found: Column, kind: str) -> Column:
 
 def _erfc(x: Column) -> Column:
     """For x >= 0; a published rational approximation, off by less than 1.5e-7."""
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return poly * F.exp(-x * x)
+    poly = lambda t: t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return once(1 / (1 + 0.3275911 * x), poly) * F.exp(-x * x)
 
 
 def randomness(value: Column, alphabet: str) -> Column:
-    """p-value of "independent and uniform over the alphabet" for a string of its characters."""
+    """p-value of "independent and uniform over the alphabet" for a string of its characters.
+
+    What is used more than once is bound once, else the tree grows with the product of the uses, and the driver's memory with it.
+    """
     size = len(alphabet)
     mean, variance = (size - 1) / 2, (size * size - 1) / 12
 
     def tests(chars: Column) -> Column:
-        n = F.size(chars).cast("double")
         codes = F.transform(chars, lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double"))
+        return once(F.struct(F.size(chars).cast("double").alias("n"), codes.alias("v")), counted)
+
+    def counted(x: Column) -> Column:
+        n, v = x["n"], x["v"]
+        squares = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(v, lambda x: x == c)).cast("double"), F.lit(2.0)))
+        chi = (size / n * squares - n - (size - 1)) / F.sqrt(2.0 * (size - 1) * (n - 1) / n)
+        high = F.size(F.filter(v, lambda x: x > mean)).cast("double")
+        runs = 1.0 + F.size(F.filter(F.sequence(F.lit(1), F.size(v) - 1), lambda i: (F.get(v, i) > mean) != (F.get(v, i - 1) > mean)))
+        lag = F.aggregate(F.sequence(F.lit(1), F.size(v) - 1), F.lit(0.0), lambda a, i: a + (F.get(v, i) - mean) * (F.get(v, i - 1) - mean))
+        serial = lag / (variance * F.sqrt(n - 1))
+        return once(F.struct(n.alias("n"), chi.alias("chi"), high.alias("high"), runs.alias("runs"), serial.alias("serial")), lambda y: once(scores(y), lambda z: once(F.least(z["chi"] * z["chi"] + z["run"] * z["run"] + z["serial"] * z["serial"], F.lit(1000.0)), tail)))
 
-        def of(v: Column) -> Column:
-            squares = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(v, lambda x: x == c)).cast("double"), F.lit(2.0)))
-            chi = (size / n * squares - n - (size - 1)) / F.sqrt(2.0 * (size - 1) * (n - 1) / n)
-            high = F.size(F.filter(v, lambda x: x > mean)).cast("double")
-            low = n - high
-            runs = 1.0 + F.size(F.filter(F.sequence(F.lit(1), F.size(v) - 1), lambda i: (F.get(v, i) > mean) != (F.get(v, i - 1) > mean)))
-            spread = 2 * high * low * (2 * high * low - n) / (n * n * (n - 1))
-            run_score = F.when((high > 0) & (low > 0) & (spread > 0), (runs - 1 - 2 * high * low / n) / F.sqrt(spread)).otherwise(F.lit(99.0))
-            lag = F.aggregate(F.sequence(F.lit(1), F.size(v) - 1), F.lit(0.0), lambda a, i: a + (F.get(v, i) - mean) * (F.get(v, i - 1) - mean))
-            serial = lag / (variance * F.sqrt(n - 1))
-            q = F.least(chi * chi + run_score * run_score + serial * serial, F.lit(1000.0))
-            return _erfc(F.sqrt(q / 2)) + F.sqrt(2 * q / math.pi) * F.exp(-q / 2)
+    def scores(y: Column) -> Column:
+        n, high = y["n"], y["high"]
+        low = n - high
+        spread = 2 * high * low * (2 * high * low - n) / (n * n * (n - 1))
+        run_score = once(spread, lambda s: F.when((high > 0) & (low > 0) & (s > 0), (y["runs"] - 1 - 2 * high * low / n) / F.sqrt(s)).otherwise(F.lit(99.0)))
+        return F.struct(y["chi"].alias("chi"), run_score.alias("run"), y["serial"].alias("serial"))
 
-        return F.get(F.transform(F.array(codes), of), 0)
+    def tail(q: Column) -> Column:
+        return _erfc(F.sqrt(q / 2)) + F.sqrt(2 * q / math.pi) * F.exp(-q / 2)
 
-    return F.get(F.transform(F.array(F.filter(F.split(value, ""), lambda c: c != "")), tests), 0)
+    return once(F.filter(F.split(value, ""), lambda c: c != ""), tests)
 
 
 def _judged(found: Column, base: Column) -> Column:
     """Candidates with kind, class of lengths and p-value; those that touch a base span or lack letters or digits are left out."""
     ordered = lambda name: F.array_sort(F.transform(base, lambda b: b[name]))
     # spans that start before a candidate's end, but for those that end by its start, overlap it
-    free = _once(F.struct(ordered("start").alias("starts"), ordered("end").alias("ends")), lambda b: F.filter(found, lambda x: _below(b["starts"], x["end"]) == _below(b["ends"], x["start"] + 1)))
+    free = once(F.struct(ordered("start").alias("starts"), ordered("end").alias("ends")), lambda b: F.filter(found, lambda x: _below(b["starts"], x["end"]) == _below(b["ends"], x["start"] + 1)))
     named = F.filter(free, lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]"))
 
     def one(x: Column) -> Column:
@@ -227,7 +229,7 @@ def masked(docs: DataFrame, rate: float = 0.1, text_col: str = "text", mark: str
         F.length(text).alias("length"),
     )
     out = scanned.withColumn("__spans", spans)
-    return out.withColumn(text_col, F.when(F.size("__spans") > 0, _once(parts, clean)).otherwise(F.col(text_col))).select(*docs.columns)
+    return out.withColumn(text_col, F.when(F.size("__spans") > 0, once(parts, clean)).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def sql(rate: float = 0.1) -> str:

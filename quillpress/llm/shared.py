@@ -6,8 +6,10 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..workers import ship  # noqa: F401  the operators of this folder take it from here
 
@@ -61,6 +63,11 @@ def forget(start: int = 0, keep: int = 0) -> None:
             continue
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once however often, and within whatever lambda, body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more; its cleaner waits for a collection."""
     gc.collect()

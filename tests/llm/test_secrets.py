@@ -138,3 +138,9 @@ def test_no_python(docs):
 def test_listing(spark):
     df = spark.createDataFrame([([(3, 2, 9), (0, 0, 2)],), ([],)], "s array<struct<start:int,kind:int,end:int>>")
     assert [r[0] for r in df.select(listed(F.col("s"))).collect()] == ["hex:3:9,assign:0:2", ""]
+
+
+def test_the_plan_is_small(docs):
+    """What a p-value uses more than once is bound once: the driver analyses and plans a short tree."""
+    scanned = spans_and_candidates(docs([{"text": "x"}]))
+    assert len(scanned._jdf.queryExecution().analyzed().toString()) < 200_000
